@@ -58,7 +58,7 @@ def paths(links: DataFrame) -> DataFrame:
     rows = links.join(inner, ["tree", "id"], "left_anti").select("tree", F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("above"))
     for k in reversed(range(len(steps))):
         more = rows.join(steps[k], ["tree", "id"]).select("tree", "leaf", F.col("up").alias("id"), (F.col("above") + 2**k).alias("above"))
-        rows = rows.unionByName(more)
+        rows = cut(rows.unionByName(more))  # else the plan doubles too
     return rows
 
 
@@ -67,7 +67,7 @@ def conversations(messages: DataFrame, branches: int | None = 1) -> DataFrame:
 
     messages: tree, id, parent, role, text, score. Result: tree, leaf, rank, branch_score, formatted, loss_mask."""
     messages = messages.select("tree", "id", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    on_path = cut(paths(messages.select("tree", "id", "parent")))
+    on_path = paths(messages.select("tree", "id", "parent"))
     scored = on_path.join(messages.select("tree", "id", "score"), ["tree", "id"]).groupBy("tree", "leaf").agg(F.sum("score").alias("branch_score"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf"))
     chosen = scored.withColumn("rank", rank)
