@@ -154,10 +154,11 @@ class Mix:
         keeps the text as it is; else its runs of words are cut out whole and joined by a newline."""
         runs = self.pieces.groupBy("sid", "bucket", "rn", "turn").agg(F.collect_list(F.struct("start", "words")).alias("runs"))
         twin = Window.partitionBy("key").orderBy("sid", "bucket", "rn")
-        keyed = self.rows.withColumn("twin", F.row_number().over(twin)).join(runs, ["sid", "bucket", "rn"]).select("key", "twin", "size", "runs")
-        own = docs.withColumn("key", F.xxhash64(F.col(self.id_col), F.coalesce(F.col(text_col), F.lit("")), F.col(source_col)))
-        own = own.withColumn("twin", F.row_number().over(Window.partitionBy("key").orderBy("key")))
-        word = re.compile(r"[^\x20\x09-\x0D]+")
+        keyed = self.rows.withColumn("twin", F.row_number().over(twin)).join(runs, ["sid", "bucket", "rn"])
+        keyed = keyed.select(*(F.col(c).alias(f"_{c}") for c in ("key", "twin", "size", "runs")))
+        own = docs.withColumn("_key", F.xxhash64(F.col(self.id_col), F.coalesce(F.col(text_col), F.lit("")), F.col(source_col)))
+        own = own.withColumn("_twin", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
+        columns, word = docs.columns, re.compile(r"[^\x20\x09-\x0D]+")
 
         def cut_out(text, size, runs):
             runs = sorted((int(r["start"]), int(r["start"]) + int(r["words"])) for r in runs)
@@ -173,9 +174,9 @@ class Mix:
 
         def rows(batches):
             for pdf in batches:
-                pdf[text_col] = [cut_out(t, s, r) for t, s, r in zip(pdf[text_col], pdf["size"], pdf["runs"], strict=True)]
-                if count_col in docs.columns:
+                pdf[text_col] = [cut_out(t, s, r) for t, s, r in zip(pdf[text_col], pdf["_size"], pdf["_runs"], strict=True)]
+                if count_col in columns:
                     pdf[count_col] = pdf[text_col].str.len()
-                yield pdf[docs.columns]
+                yield pdf[columns]
 
-        return own.join(keyed, ["key", "twin"]).select(*docs.columns, "size", "runs").mapInPandas(rows, docs.schema)
+        return own.join(keyed, ["_key", "_twin"]).select(*columns, "_size", "_runs").mapInPandas(rows, docs.schema)

@@ -111,11 +111,11 @@ def find(text: Column, kind: str, least: float = 0.6) -> Column:
     return F.when(seen, spans).otherwise(F.array()).cast(SPAN)
 
 
-def spans(docs: DataFrame, text_col: str = "text", least: float = 0.6, keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns `keep`) with `base` and `added`: arrays of spans by kind as listed, then start."""
+def spans(docs: DataFrame, text_col: str = "text", least: float = 0.6, keep: list[str] | None = None, own: tuple[str, str] = ("base", "added")) -> DataFrame:
+    """docs (or its columns `keep`) with `base` and `added` (or the names `own`, which replace columns so named): arrays of spans by kind as listed, then start."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base, added = (F.concat(*[find(text, k, least) for k in kinds]) for kinds in (BASE, [k for k in KINDS if k not in BASE]))
-    return docs.select(*(docs.columns if keep is None else keep), base.alias("base"), added.alias("added"))
+    return docs.select(*(c for c in keep or docs.columns if c not in own), base.alias(own[0]), added.alias(own[1]))
 
 
 def listing(found: Column) -> Column:
@@ -129,8 +129,8 @@ def count_of(found: Column, kind: str) -> Column:
 def redact(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars", least: float = 0.6) -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; of spans that overlap, the first (then longest) names the
     replacement, which covers them all. A null text stays null, a text without spans as it is."""
-    found = spans(docs, text_col, least)
-    ordered = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), s["kind"].alias("kind"))))
+    found = spans(docs, text_col, least, own=("_base", "_added"))
+    ordered = F.array_sort(F.transform(F.concat("_base", "_added"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), s["kind"].alias("kind"))))
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 

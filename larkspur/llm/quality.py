@@ -119,16 +119,16 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     return Ranker(x[order].astype(np.float64), got.y.to_numpy()[order], cut)
 
 
-def score(docs: DataFrame, model: Ranker, *, text_col="text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (default all) with score and predicted."""
+def score(docs: DataFrame, model: Ranker, *, text_col="text", keep: list[str] | None = None, own: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns `keep` of docs (default all) with score and predicted (or the names `own`, which replace columns so named)."""
     ship(docs.sparkSession)
-    shared, keep = docs.sparkSession.sparkContext.broadcast(model), docs.columns if keep is None else keep
+    shared, keep = docs.sparkSession.sparkContext.broadcast(model), [c for c in keep or docs.columns if c not in own]
     names = list(dict.fromkeys([*keep, text_col]))
 
     def rows(batches):
         for pdf in batches:
             s = shared.value.score(np.stack([features(t) for t in pdf[text_col]]).astype(np.float64)) if len(pdf) else np.zeros(0)
-            yield pdf[keep].assign(score=s, predicted=(s >= shared.value.cut).astype("int32"))
+            yield pdf[keep].assign(**{own[0]: s, own[1]: (s >= shared.value.cut).astype("int32")})
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*names).mapInPandas(rows, f"{schema}, score double, predicted int")
+    return docs.select(*names).mapInPandas(rows, f"{schema}, {own[0]} double, {own[1]} int")
