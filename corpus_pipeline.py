@@ -17,7 +17,7 @@ from larkspur.session import cut, table
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pairwise ranker predicts to be good."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).filter("predicted = 1").select(docs.columns)
+    return quality.score(docs, model, own=("_score", "_kept")).filter("_kept = 1").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
