@@ -84,7 +84,7 @@ def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
 class Mix:
     """The plan of a mix: rows (one a document, without text), the sources' table, and the placed pieces."""
 
-    def __init__(self, docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=1.5, block_words=256, shards=16, bucket_docs=20000, seed=11):
+    def __init__(self, docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=1.5, block_words=256, shards=16, bucket_docs=2000, seed=11):
         ship(docs.sparkSession)
         spark, self.id_col = docs.sparkSession, id_col
         text = F.coalesce(F.col(text_col), F.lit(""))
