@@ -1,6 +1,444 @@
-"""The queries over the driver's tables, and the same questions in SQL."""
+"""The queries over the driver's tables, and the same questions in SQL.
+
+documents and pages stand for files, events for tool calls (user_id: session, event_type: tool), orders and lineitem for
+runs and threats, part for tools."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from larkspur.functions import text as X
+from larkspur.functions.python import ast_facts
+from larkspur.operators import context, detect, flows, policy, rules, score, signatures, store
+from larkspur.session import ship, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Kinds whose patterns mean the same in every engine on text that is not ASCII.
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+CARD = r"(?:[0-9]{4}[- ]?){3}[0-9]{4}"
+IP = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
+KINDS = {"email": EMAIL, "credit_card": CARD, "ip_address": IP}
+_UNION = " UNION ALL ".join(f"SELECT doc_id, lang, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS hit FROM documents" for k, p in KINDS.items())
+
+
+def _personal(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+
+    def of(kind: str, pattern: str):
+        return F.transform(X.all_matches(F.col("text"), pattern), lambda h: F.struct(F.lit(kind).alias("kind"), h.alias("hit")))
+
+    each = F.concat(*[of(k, p) for k, p in KINDS.items()])
+    return docs.select("doc_id", "lang", F.explode(each).alias("f")).select("doc_id", "lang", "f.*")
+
+
+@query(f"""SELECT f.lang, f.kind, count(*) AS findings, count(DISTINCT f.doc_id) AS documents, count(DISTINCT l.doc_id) AS labelled
+FROM ({_UNION}) f LEFT JOIN labels l USING (doc_id) GROUP BY ALL""")
+def pii_counts_by_lang(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("doc_id").alias("l"))
+    return _personal(spark, sf_dir).join(labels, "doc_id", "left").groupBy("lang", "kind").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("doc_id").alias("documents"), F.countDistinct("l").alias("labelled"))
+
+
+@query(f"""SELECT doc_id, kind, CASE WHEN length(hit) > 4 THEN left(hit, 2) || repeat('*', length(hit) - 4) || right(hit, 2) ELSE hit END AS redacted, count(*) AS n
+FROM ({_UNION}) GROUP BY ALL""")
+def pii_redacted_findings(spark, sf_dir):
+    return _personal(spark, sf_dir).select("doc_id", "kind", X.redacted(F.col("hit")).alias("redacted")).groupBy("doc_id", "kind", "redacted").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Patterns of prose and markup, so that the driver's tables have hits.
+PROBES = {"markup": [r"<script[^>]*>", r"<!-- ", r"style="], "symbols": [r"[#%$&*]{3}", r"!!"], "secrets": [r"(?i)(api[_-]?key|secret|password|token)\s*[:=]", r"AKIA[0-9A-Z]{8,}"], "licences": [r"(?i)licen[cs]e", r"GNU General Public"]}
+
+
+@query(" UNION ALL ".join(f"SELECT '{s}' AS source, '{c}' AS category, {i} AS rule, CAST(sum(len(regexp_extract_all({t}, '{p}'))) AS BIGINT) AS hits, count(*) FILTER (WHERE regexp_matches({t}, '{p}')) AS texts FROM {s}" for s, t in (("documents", "text"), ("pages", "html")) for c, ps in PROBES.items() for i, p in enumerate(ps)))
+def pattern_hits_by_category(spark, sf_dir):
+    out = None
+    for s, t in (("documents", "text"), ("pages", "html")):
+        probes = [(c, i, p) for c, ps in PROBES.items() for i, p in enumerate(ps)]
+        each = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(i).alias("rule"), F.regexp_count(t, F.lit(p)).alias("n")) for c, i, p in probes])
+        rows = table(spark, sf_dir, s).select(F.lit(s).alias("source"), F.explode(each).alias("x")).select("source", "x.*")
+        rows = rows.groupBy("source", "category", "rule").agg(F.sum("n").alias("hits"), F.count(F.when(F.col("n") > 0, 1)).alias("texts"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_LINES = "SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
+
+
+@query(f"""SELECT doc_id, line, CASE WHEN regexp_matches(s, '[#%$&*]{{3}}') THEN 0 ELSE 1 END AS rule,
+  CASE WHEN regexp_matches(s, '[#%$&*]{{3}}') THEN regexp_extract(s, '[#%$&*]{{3}}') ELSE regexp_extract(s, '[A-Z]{{4,}}') END AS hit
+FROM ({_LINES}) WHERE regexp_matches(s, '[#%$&*]{{3}}|[A-Z]{{4,}}')""")
+def line_first_match(spark, sf_dir):
+    own = [rules.Rule("probe", "noise", str(i), p, "LOW", 0.9) for i, p in enumerate((r"[#%$&*]{3}", r"[A-Z]{4,}"))]
+    return detect.first_by_line(table(spark, sf_dir, "documents"), own).select("doc_id", F.col("line").cast("long"), F.col("name").cast("int").alias("rule"), "hit")
+
+
+@query(f"""WITH c AS (SELECT doc_id, regexp_extract_all(text, '{EMAIL}') AS m, string_split_regex(text, '{EMAIL}') AS g FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, x.o AS "offset", x.h AS hit, x.l AS line FROM (SELECT doc_id, unnest(list_transform(range(1, len(m) + 1), lambda i: {{
+  'o': CAST(list_sum(list_transform(g[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda s: length(s))), 0) AS INTEGER), 'h': m[i],
+  'l': CAST(1 + list_sum(list_transform(g[1:i], lambda s: length(s) - length(replace(s, chr(10), '')))) AS INTEGER)}})) AS x FROM c)""")
+def match_offsets(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(X.match_offsets(F.col("text"), EMAIL)).alias("m")).select("doc_id", "m.offset", "m.hit", "m.line")
+
+
+@query("""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents), n AS (SELECT doc_id, ch, count(*) AS k FROM c GROUP BY ALL),
+p AS (SELECT doc_id, k / sum(k) OVER (PARTITION BY doc_id) AS p FROM n) SELECT doc_id, round(-sum(p * log2(p)), 6) AS entropy FROM p GROUP BY doc_id""")
+def char_entropy(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(X.entropy(F.col("text")), 6).alias("entropy"))
+
+
+@query("SELECT doc_id, left(sha256(text || ':' || coalesce(lang, '') || ':' || length(text)), 16) AS cache_key FROM documents")
+def content_cache_key(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.cache_key(F.col("text"), F.coalesce("lang", F.lit(""))).alias("cache_key"))
+
+
+@query("SELECT sha256(text) AS content_hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_duplicate_groups(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+
+
+_SECRET = r"(?i)(?:password|secret|token|api[_-]?key)\s*[:=]\s*([^\s,;]{4,})"
+
+
+@query(f"SELECT doc_id, line, regexp_extract(s, '{_SECRET}', 1) AS value FROM ({_LINES}) WHERE length(s) <= 400 AND regexp_matches(s, '{_SECRET}')")
+def secret_line_candidates(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "s"))
+    return lines.filter((F.length("s") <= 400) & F.col("s").rlike(_SECRET)).select("doc_id", (F.col("at") + 1).cast("long").alias("line"), F.regexp_extract("s", _SECRET, 1).alias("value"))
+
+
+@query()
+def secret_findings(spark, sf_dir):
+    return detect.secrets(table(spark, sf_dir, "documents"))
+
+
+@query("""SELECT doc_id, CAST(length(text) // 4 AS BIGINT) AS tokens, round(list_sum(list_transform(l, lambda s: length(s))) / len(l), 6) AS mean_line,
+  round(len(list_filter(l, lambda s: starts_with(ltrim(s, ' '), '#') OR starts_with(ltrim(s, ' '), '//'))) / len(l), 6) AS comments FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)""")
+def text_metrics(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", X.tokens_estimate(t).alias("tokens"), F.round(X.mean_line_length(t), 6).alias("mean_line"), F.round(X.comment_ratio(t), 6).alias("comments"))
+
+
+_PRIORITY = "greatest(0, 50" + "".join(f" + CASE WHEN contains(lower(url), '{w}') THEN {n} ELSE 0 END" for w, n in {"auth": 30, "login": 25, "admin": 25, "config": 20, "secret": 30, "api": 15, "exec": 20, "server": 15, "test": -20, "docs": -15, "example": -15, "static": -10}.items()) + ")"
+
+
+@query(f"SELECT page_id, {_PRIORITY} AS score FROM pages ORDER BY score DESC, page_id LIMIT 50")
+def priority_topk(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.path_priority(F.col("url")).alias("score")).orderBy(F.desc("score"), "page_id").limit(50)
+
+
+#: A stand-in rule set with hits in prose: vector, pattern, severity.
+VECTORS = [("code_obfuscation", r"[#%$&*]{3}", "HIGH"), ("prompt_injection", r"!!", "CRITICAL"), ("data_exfiltration", EMAIL, "MEDIUM"), ("network_backdoor", IP, "HIGH"), ("tool_poisoning", r" \| ", "LOW")]
+_FINDINGS = " UNION ALL ".join(f"SELECT doc_id, source, lang, '{v}' AS category, '{s}' AS severity FROM documents WHERE regexp_matches(text, '{p}')" for v, p, s in VECTORS)
+
+
+def _findings(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    each = F.filter(F.array(*[F.when(F.col("text").rlike(p), F.struct(F.lit(v).alias("category"), F.lit(s).alias("severity"))) for v, p, s in VECTORS]), lambda x: x.isNotNull())
+    return docs.select("doc_id", "source", "lang", F.explode(each).alias("f")).select("doc_id", "source", "lang", "f.*")
+
+
+def _remap_sql(purpose: str) -> str:
+    cases = " ".join(f"WHEN {purpose} = '{p}' AND severity = '{a}' THEN '{b}'" for p, kind in context.PROFILE.items() for a, b in zip(context.SEVERITIES, context.ADJUST[kind], strict=True))
+    return f"CASE {cases} ELSE severity END"
+
+
+_PURPOSE = "CASE WHEN source IN ('src1', 'src2') THEN 'test' WHEN source IN ('src3', 'src4') THEN 'example' WHEN source = 'src5' THEN 'generated' ELSE 'production' END"
+
+
+@query(f"SELECT severity, purpose, count(*) AS findings FROM (SELECT {_remap_sql('purpose')} AS severity, purpose FROM (SELECT severity, {_PURPOSE} AS purpose FROM ({_FINDINGS}))) WHERE severity <> 'IGNORE' GROUP BY ALL")
+def context_severity_remap(spark, sf_dir):
+    s = F.col("source")
+    purpose = F.when(s.isin("src1", "src2"), "test").when(s.isin("src3", "src4"), "example").when(s == "src5", "generated").otherwise("production")
+    return context.apply(_findings(spark, sf_dir).withColumn("purpose", purpose)).groupBy("severity", "purpose").agg(F.count(F.lit(1)).alias("findings"))
+
+
+@query()
+def file_context(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", context.classify(F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))).alias("c")).select("page_id", "c.*")
+
+
+_BASE = """CASE WHEN n_critical > 0 THEN least(1.0, 0.85 + 0.05 * (n_critical - 1)) WHEN n_high > 0 THEN least(0.85, CASE WHEN n_high >= 10 THEN 0.8 WHEN n_high >= 5 THEN 0.7 ELSE 0.6 END + 0.02 * (n_high - 1))
+  WHEN n_medium > 0 THEN least(0.59, 0.4 + 0.03 * (n_medium - 1)) WHEN n_low > 0 THEN least(0.39, 0.2 + 0.02 * (n_low - 1)) WHEN n_info > 0 THEN 0.1 ELSE 0.0 END"""
+
+
+@query(f"""WITH n AS (SELECT source, {', '.join(f"count(*) FILTER (WHERE severity = '{s}') AS n_{s.lower()}" for s in rules.RANK)} FROM ({_FINDINGS}) GROUP BY source),
+b AS (SELECT *, CAST({_BASE} AS DOUBLE) AS base, least(1.0, CASE WHEN n_critical > 0 THEN 0.5 ELSE 0 END + CASE WHEN n_high > 1 THEN 0.2 ELSE 0 END) AS ml FROM n),
+s AS (SELECT *, 0.7 * base + 0.1 * ml AS raw FROM b), f AS (SELECT source, n_critical, n_high, least(1.0, CASE WHEN base >= 0.85 THEN greatest(raw, 0.8) WHEN base >= 0.6 THEN greatest(raw, 0.6) ELSE raw END) AS score FROM s)
+SELECT source, n_critical, n_high, CAST(round(score, 6) AS DOUBLE) AS score, CASE WHEN score >= 0.8 THEN 'CRITICAL' WHEN score >= 0.6 THEN 'HIGH' WHEN score >= 0.4 THEN 'MEDIUM' WHEN score >= 0.2 THEN 'LOW' ELSE 'MINIMAL' END AS level FROM f""")
+def threat_score(spark, sf_dir):
+    return score.score(_findings(spark, sf_dir), "source").select("source", "n_critical", "n_high", F.round("score", 6).alias("score"), "level")
+
+
+@query(f"SELECT source, count(DISTINCT category) AS vectors, count(DISTINCT doc_id) AS files, 'multi_vector_attack' AS behavior, CAST(0.8 AS DOUBLE) AS risk_score FROM ({_FINDINGS}) GROUP BY source HAVING count(DISTINCT category) >= 3")
+def multi_vector_behavior(spark, sf_dir):
+    return score.multi_vector(_findings(spark, sf_dir), "source", place="doc_id")
+
+
+RISKS = {"injection": ["prompt_injection", "tool_poisoning"], "exfiltration": ["data_exfiltration", "network_backdoor"], "stealth": ["code_obfuscation", "tool_poisoning"]}
+_RANK = "CASE severity " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.RANK.items()) + " END"
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS risk, count(*) AS findings, max({_RANK}) AS worst FROM ({_FINDINGS}) WHERE category IN ({', '.join(map(repr, v))}) HAVING count(*) > 0" for k, v in RISKS.items()))
+def risk_matrix(spark, sf_dir):
+    return score.risk_matrix(_findings(spark, sf_dir), RISKS)
+
+
+@query(f"""WITH p AS (SELECT l.doc_id, d.lang, CASE WHEN l.quality = 0 THEN 1 ELSE 0 END AS a, CASE WHEN regexp_matches(d.text, '[#%$&*]{{3}}|!!| \\| ') THEN 1 ELSE 0 END AS p FROM labels l JOIN documents d USING (doc_id)),
+c AS (SELECT lang, count(*) FILTER (WHERE a = 1 AND p = 1) AS tp, count(*) FILTER (WHERE a = 0 AND p = 1) AS fp, count(*) FILTER (WHERE a = 0 AND p = 0) AS tn, count(*) FILTER (WHERE a = 1 AND p = 0) AS fn FROM p GROUP BY lang),
+r AS (SELECT *, (tp + tn) / (tp + fp + tn + fn) AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall FROM c)
+SELECT lang, tp, fp, tn, fn, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1 FROM r""")
+def classifier_metrics(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").rlike(r"[#%$&*]{3}|!!| \| ").cast("int").alias("p"))
+    rows = table(spark, sf_dir, "labels").withColumn("a", (F.col("quality") == 0).cast("int")).join(docs, "doc_id")
+    out = score.classifier_metrics(rows, "a", "p", "lang")
+    return out.select("lang", "tp", "fp", "tn", "fn", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
+@query("SELECT o_orderpriority, l_returnflag, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
+def severity_vector_distribution(spark, sf_dir):
+    return _lines(spark, sf_dir).groupBy("o_orderpriority", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _lines(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+@query("SELECT l_partkey, count(*) AS n, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 10")
+def top_files_distinct_severity(spark, sf_dir):
+    out = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("flags"))
+    return out.orderBy(F.desc("n"), "l_partkey").limit(10)
+
+
+@query("SELECT count(DISTINCT o_custkey) AS repositories, count(DISTINCT o_orderkey) AS runs, round(avg(o_totalprice), 4) AS mean, max(o_totalprice) AS most, round(sum(o_totalprice), 2) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished FROM orders")
+def store_summary(spark, sf_dir):
+    return table(spark, sf_dir, "orders").agg(F.countDistinct("o_custkey").alias("repositories"), F.countDistinct("o_orderkey").alias("runs"), F.round(F.avg("o_totalprice"), 4).alias("mean"), F.max("o_totalprice").alias("most"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("finished"))
+
+
+@query("SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 10")
+def recent_runs_left_join(spark, sf_dir):
+    recent = table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(10)
+    return recent.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def not_in_active(spark, sf_dir):
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id IN (SELECT event_id FROM events ORDER BY ts DESC, event_id LIMIT 100)")
+def lru_eviction(spark, sf_dir):
+    return store.evict(table(spark, sf_dir, "events"), 100, "ts", "event_id").select("event_id", "user_id")
+
+
+@query("SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS rank FROM lineitem) WHERE rank <= 3")
+def top_n_per_vector(spark, sf_dir):
+    out = store.top_in_group(table(spark, sf_dir, "lineitem"), "l_returnflag", [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey"], 3)
+    return out.select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", F.col("rank").cast("long"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1")
+def latest_run_per_key(spark, sf_dir):
+    return store.latest(table(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT user_id, count(*) AS risky FROM events WHERE event_type IN ('error', 'purchase') GROUP BY user_id")
+def high_risk_sessions(spark, sf_dir):
+    return table(spark, sf_dir, "events").filter(F.col("event_type").isin("error", "purchase")).groupBy("user_id").agg(F.count(F.lit(1)).alias("risky"))
+
+
+@query("SELECT user_id, count(*) AS events, count(DISTINCT event_type) AS tools, count(*) FILTER (WHERE event_type = 'error') AS errors, max(value) AS most, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY user_id")
+def session_summary(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("event_type").alias("tools"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"), F.max("value").alias("most"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+PAIRS = [(["view", "click"], ["purchase"], "READ_THEN_SEND"), (["signup"], ["error"], "FETCH_THEN_RUN")]
+EVENT = {"session": "user_id", "order": ("ts", "event_id"), "tool": "event_type"}
+
+
+@query("""SELECT user_id, event_id, CASE WHEN event_type IN ('view', 'click') AND n = 'purchase' THEN 'READ_THEN_SEND' ELSE 'FETCH_THEN_RUN' END AS flow FROM (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
+WHERE (event_type IN ('view', 'click') AND n = 'purchase') OR (event_type = 'signup' AND n = 'error')""")
+def adjacent_toxic_flow(spark, sf_dir):
+    return flows.adjacent(table(spark, sf_dir, "events"), PAIRS, **EVENT).select("user_id", "event_id", "flow")
+
+
+@query("""SELECT b.user_id, b.event_id, count(*) AS sources_before FROM events a JOIN events b ON a.user_id = b.user_id AND (a.ts, a.event_id) < (b.ts, b.event_id)
+WHERE a.event_type = 'signup' AND b.event_type = 'purchase' GROUP BY ALL""")
+def ordered_pair_flow(spark, sf_dir):
+    return flows.ordered(table(spark, sf_dir, "events"), ["signup"], ["purchase"], **EVENT).select("user_id", "event_id", "sources_before")
+
+
+@query("""SELECT event_id, event_type, round(m + 1e-8, 5) AS mean_before FROM (SELECT *, avg(value) OVER w AS m, count(value) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND 1 PRECEDING))
+WHERE n >= 10 AND (value > 3 * m OR value < 0.3 * m)""")
+def output_drift(spark, sf_dir):
+    return flows.drift(table(spark, sf_dir, "events"), "user_id", "value", ("ts", "event_id")).select("event_id", "event_type", F.round(F.col("mean_before") + 1e-8, 5).alias("mean_before"))
+
+
+@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + 1e-8, 5) AS mean FROM events")
+def running_mean_risk(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, sf_dir, "events").select("event_id", F.round(F.avg("value").over(w) + 1e-8, 5).alias("mean"))
+
+
+@query(f"""SELECT source, doc_id, hits FROM (SELECT *, coalesce(sum(hits) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT source, doc_id, len(regexp_extract_all(text, '!!')) + len(regexp_extract_all(text, '{IP}')) AS hits FROM documents)) WHERE before < 3""")
+def early_exit_prefix(spark, sf_dir):
+    hits = table(spark, sf_dir, "documents").select("source", "doc_id", (F.regexp_count("text", F.lit("!!")) + F.regexp_count("text", F.lit(IP))).cast("long").alias("hits"))
+    return store.until_threshold(hits, "source", ["doc_id"], F.col("hits"), 3).select("source", "doc_id", "hits")
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS n_in_window FROM (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, ts FROM events)")
+def rate_limit_window(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("s", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    return store.within(events, "user_id", "s", 86400).select("event_id", "n_in_window")
+
+
+@query("""WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+f AS (SELECT user_id, n, min(i) FILTER (WHERE event_type = 'signup') AS a, min(i) FILTER (WHERE event_type = 'view') AS b, min(i) FILTER (WHERE event_type = 'purchase') AS c FROM r GROUP BY ALL)
+SELECT user_id, 'funnel' AS pattern, round(CASE WHEN n > 1 THEN 1 - (greatest(a, b, c) - least(a, b, c)) / (n - 1) ELSE 1 END, 6) AS confidence FROM f WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL""")
+def behavior_sequence(spark, sf_dir):
+    out = flows.behaviors(table(spark, sf_dir, "events"), {"funnel": ["signup", "view", "purchase"]}, "user_id", "ts", "event_id", "event_type")
+    return out.select("user_id", "pattern", F.round("confidence", 6).alias("confidence"))
+
+
+POLICIES = [
+    ("block-errors", 100, "", "BLOCK\nWHEN tool == error\nAND props.k > 90"),
+    ("cap-purchases", 50, "", "MODIFY\nWHEN tool IN [\"purchase\", \"signup\"]\nAND value > 200\nTHEN:\nSET params.limit = 200"),
+    ("tag-low", 40, "", "MODIFY\nWHEN tool STARTS_WITH purch\nTHEN:\nSET params.tag = low\nSET params.limit = 1"),
+    ("log-clicks", 10, "", "LOG\nWHEN tool MATCHES cl\nAND NOT value < 10"),
+]
+
+
+@query("""SELECT event_id, CASE WHEN b THEN 'BLOCK' WHEN m1 OR m2 THEN 'MODIFY' WHEN l THEN 'LOG' ELSE 'ALLOW' END AS action, CASE WHEN b THEN 'block-errors' WHEN m1 THEN 'cap-purchases' WHEN m2 THEN 'tag-low' WHEN l THEN 'log-clicks' END AS policy,
+  CASE WHEN NOT b THEN CASE WHEN m1 THEN '200' WHEN m2 THEN '1' END END AS "limit" FROM (SELECT event_id, event_type = 'error' AND coalesce(CAST(props->>'$.k' AS DOUBLE), 0) > 90 AS b, event_type IN ('purchase', 'signup') AND coalesce(value, 0) > 200 AS m1, starts_with(event_type, 'purch') AS m2, starts_with(event_type, 'cl') AND NOT coalesce(value < 10, false) AS l FROM events)""")
+def policy_verdicts(spark, sf_dir):
+    def field(path: str):
+        return F.get_json_object("props", "$." + path[6:]) if path.startswith("props.") else F.col({"tool": "event_type"}.get(path, path))
+
+    out = policy.resolve(table(spark, sf_dir, "events"), POLICIES, field)
+    return out.select("event_id", "action", "policy", F.try_element_at("changes", F.lit("params.limit")).alias("limit"))
+
+
+@query("SELECT event_id, '$.k' AS path, props->>'$.k' AS value FROM events WHERE props->>'$.k' IS NOT NULL")
+def json_key_walk(spark, sf_dir):
+    return detect.json_leaves(table(spark, sf_dir, "events"), "event_id", "props", depth=2)
+
+
+@query(f"""WITH d AS (SELECT doc_id, 'static' AS origin, 0.8 AS c FROM documents WHERE regexp_matches(text, '!!') UNION ALL SELECT doc_id, 'entropy', 0.6 FROM documents WHERE length(text) > 4000 UNION ALL SELECT doc_id, 'label', 0.9 FROM labels WHERE quality = 0)
+SELECT doc_id, count(DISTINCT origin) AS origins, round(least(1.0, avg(c) * (1 + 0.2 * (count(DISTINCT origin) - 1))), 6) AS confidence FROM d GROUP BY doc_id HAVING count(DISTINCT origin) >= 2""")
+def source_confirmation(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    parts = [docs.filter(F.contains("text", F.lit("!!"))).select("doc_id", F.lit("static").alias("origin"), F.lit(0.8).alias("confidence")), docs.filter(F.length("text") > 4000).select("doc_id", F.lit("entropy").alias("origin"), F.lit(0.6).alias("confidence")), table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id", F.lit("label").alias("origin"), F.lit(0.9).alias("confidence"))]
+    return score.confirmed(*parts, key=["doc_id"]).select("doc_id", "origins", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, 'user_input' AS source_type FROM documents WHERE regexp_matches(text, '!!') UNION ALL SELECT doc_id, 'network' FROM documents WHERE regexp_matches(text, '{IP}')),
+k AS (SELECT doc_id, 'command_execution' AS sink_type FROM documents WHERE regexp_matches(text, '[#%$&*]{{3}}') UNION ALL SELECT doc_id, 'file_write' FROM documents WHERE length(text) > 1000)
+SELECT doc_id, source_type, sink_type, CAST(CASE WHEN source_type = 'user_input' AND sink_type = 'command_execution' THEN 1.0 WHEN source_type = 'network' AND sink_type = 'command_execution' THEN 0.9 WHEN source_type = 'user_input' THEN 0.6 ELSE 0.3 END AS DOUBLE) AS risk_score FROM s JOIN k USING (doc_id)""")
+def flow_pairs(spark, sf_dir):
+    docs, t = table(spark, sf_dir, "documents"), F.col("text")
+
+    def parts(name, kinds):
+        return docs.select("doc_id", F.explode(F.filter(F.array(*[F.when(c, k) for k, c in kinds.items()]), lambda x: x.isNotNull())).alias(name))
+
+    sources = parts("source_type", {"user_input": F.contains(t, F.lit("!!")), "network": t.rlike(IP)})
+    sinks = parts("sink_type", {"command_execution": t.rlike(r"[#%$&*]{3}"), "file_write": F.length(t) > 1000})
+    return flows.pairs(sources, sinks, "doc_id").select("doc_id", "source_type", "sink_type", "risk_score")
+
+
+@query("SELECT p_type, p_brand, word, count(*) AS tools FROM (SELECT p_type, p_brand, unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY ALL HAVING count(*) > 1")
+def tool_theta_join(spark, sf_dir):
+    """Tools that name each other's words, met by word instead of in pairs."""
+    words = table(spark, sf_dir, "part").select("p_type", "p_brand", F.explode(F.split("p_name", " ")).alias("word"))
+    return words.groupBy("p_type", "p_brand", "word").agg(F.count(F.lit(1)).alias("tools")).filter("tools > 1")
+
+
+@query()
+def fuzzy_similar_parts(spark, sf_dir):
+    names = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_type").alias("p_type"))
+    return signatures.similar(names, "p_name", [("p_name", 0.7), ("p_type", 0.3)], 0.6)
+
+
+@query("""WITH l AS (SELECT event_id, user_id, event_type, ts, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)
+SELECT event_id, CASE WHEN b IS NULL THEN 'new' WHEN b = event_type THEN 'known' ELSE 'modified' END AS status, 1 + coalesce(sum(CASE WHEN b = event_type THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS times_seen FROM l""")
+def signature_changes(spark, sf_dir):
+    return signatures.statuses(table(spark, sf_dir, "events"), "user_id", "event_type", ("ts", "event_id")).select("event_id", "status", "times_seen")
+
+
+@query()
+def merkle_root(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.sha2("text", 512).alias("sha512"))
+    return signatures.merkle_root(docs)
+
+
+_CLEAN = "regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script[^>]*>.*?</script>', '', 'g'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')"
+
+
+@query(f"SELECT page_id, md5({_CLEAN}) AS clean, length(html) - length({_CLEAN}) AS removed FROM pages")
+def sanitize_text(spark, sf_dir):
+    clean = X.sanitized(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(clean).alias("clean"), (F.length("html") - F.length(clean)).cast("long").alias("removed"))
+
+
+@query("SELECT o_custkey, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS finished, count(*) AS runs, round(100.0 * sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) / count(*), 4) AS rate FROM orders GROUP BY 1")
+def threat_rate_by_group(spark, sf_dir):
+    done = F.count(F.when(F.col("o_orderstatus") == "F", 1))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(done.alias("finished"), F.count(F.lit(1)).alias("runs"), F.round(100.0 * done / F.count(F.lit(1)), 4).alias("rate"))
+
+
+@query("SELECT event_type, coalesce(lvl, 'ALL') AS lvl, count(*) AS n FROM (SELECT event_type, CASE WHEN value > 100 THEN 'HIGH' ELSE 'LOW' END AS lvl FROM events) GROUP BY GROUPING SETS ((event_type), (event_type, lvl))")
+def activity_summary(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_type", F.when(F.col("value") > 100, "HIGH").otherwise("LOW").alias("lvl"))
+    rows.createOrReplaceTempView("_activity")
+    return spark.sql("SELECT event_type, coalesce(lvl, 'ALL') AS lvl, count(*) AS n FROM _activity GROUP BY GROUPING SETS ((event_type), (event_type, _activity.lvl))")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY")
+def retention(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    last = orders.agg(F.max("o_orderdate").alias("last")).first()["last"]
+    return store.retain(orders, {}, F.col("o_orderdate") >= F.lit(last) - F.expr("INTERVAL 365 DAY"), "o_orderkey")[0].select("o_orderkey")
+
+
+@query()
+def token_batches(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", X.tokens_estimate(F.col("text")).alias("tokens"))
+    return store.pack_tokens(docs, "source", ["doc_id"], "tokens", 6000)
+
+
+@query()
+def rule_findings(spark, sf_dir):
+    """All built-in rules over all documents, with offsets and lines."""
+    return detect.scan(table(spark, sf_dir, "documents"), rules.builtin())
+
+
+#: Small sources of code, for the operators that read code.
+CODE = [
+    ("a.py", "import subprocess\ncmd = input()\nline = 'ls ' + cmd\nsubprocess.run(line, shell=True)\n"),
+    ("b.py", "import os\nx = os.environ['HOME']\ny = x\nz = y\nexec(z)\n"),
+    ("c.py", "def broken(:\n"),
+]
+
+
+@query()
+def ast_call_facts(spark, sf_dir):
+    ship(spark)
+    return spark.createDataFrame(CODE, "path string, content string").select("path", F.explode(ast_facts(F.col("content"))).alias("f")).select("path", "f.*")
+
+
+@query()
+def taint_paths(spark, sf_dir):
+    return flows.taint_in_code(spark.createDataFrame(CODE, "path string, content string"))

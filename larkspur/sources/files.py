@@ -1,0 +1,104 @@
+"""Sources: repository files, dependency manifests and client configurations, as DataFrames."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspur.functions.text import entropy, suffix
+from larkspur.session import ship
+
+# Directories and endings that are not scanned, files that always are, sizes in bytes.
+SKIP_DIRS = "dist build node_modules vendor venv .venv target out bin coverage .next .nuxt public static assets __pycache__ .pytest_cache htmlcov .tox wheels eggs .eggs sdist lib lib64 parts include share .git .svn .hg .bzr _darcs .idea .vscode".split()
+SKIP_ENDS = ".png .jpg .jpeg .gif .svg .ico .bmp .webp .pdf .zip .tar .gz .bz2 .7z .rar .xz .exe .dll .so .dylib .a .lib .o .obj .woff .woff2 .ttf .eot .otf .mp3 .mp4 .avi .mov .wav .flac .mkv .db .sqlite .sqlite3 .lock .log .min.js .min.css .map".split()
+SECURITY_FILES = ".env .env.local .env.production .env.development .git-credentials .netrc .pgpass .my.cnf id_rsa id_dsa id_ecdsa id_ed25519 credentials.xml secrets.yml secrets.yaml key.pem cert.pem private.key public.key".split()
+CONFIG_ENDS = ".json .yaml .yml .toml .ini .cfg .conf .xml".split()
+LANGUAGES = {".py": "Python", ".js": "JavaScript", ".mjs": "JavaScript", ".cjs": "JavaScript", ".jsx": "JavaScript", ".ts": "TypeScript", ".tsx": "TypeScript", ".rb": "Ruby", ".go": "Go", ".rs": "Rust", ".java": "Java", ".cpp": "C++", ".cxx": "C++", ".cc": "C++", ".hpp": "C++", ".c": "C", ".h": "C/C++", ".cs": "C#", ".php": "PHP", ".sh": "Shell", ".bash": "Bash", ".ps1": "PowerShell", ".swift": "Swift", ".kt": "Kotlin", ".scala": "Scala", ".lua": "Lua", ".pl": "Perl", ".r": "R", ".m": "Objective-C", ".mm": "Objective-C++", ".dart": "Dart", ".ex": "Elixir", ".exs": "Elixir", ".clj": "Clojure", ".hs": "Haskell", ".ml": "OCaml", ".nim": "Nim", ".zig": "Zig", ".v": "V", ".jl": "Julia"}
+LARGEST, WHOLE, ENTROPY, DEEP, HEAD = 5 << 20, 1 << 20, 100 << 10, 500 << 10, 1 << 20
+
+
+def lookup(key: Column, table: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+
+
+def skipped(path: Column, size: Column) -> Column:
+    """In a skipped directory, hidden (unless a security file), over 5 MB, or of a binary ending."""
+    low = F.lower(path)
+    parts = F.split(low, "/")
+    name = F.element_at(parts, -1)
+    dirs = F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*map(F.lit, SKIP_DIRS)))
+    ends = F.lit(False)
+    for e in SKIP_ENDS:
+        ends = ends | name.endswith(e)
+    return dirs | (name.startswith(".") & ~name.isin(SECURITY_FILES)) | (size > LARGEST) | ends
+
+
+def kinds(path: Column) -> list[Column]:
+    end, name = suffix(path), F.element_at(F.split(F.lower(path), "/"), -1)
+    language = lookup(end, LANGUAGES)
+    return [language.alias("language"), language.isNotNull().alias("is_code"), end.isin(CONFIG_ENDS).alias("is_config"), name.isin(SECURITY_FILES).alias("is_security")]
+
+
+def repository(spark: SparkSession, root: str) -> DataFrame:
+    """path, length, content, text and kind of every file to scan. Filters on path and length reach the listing, so the
+    content of skipped files is not read. Spark's file sources never list names that begin with a dot: hand such files to
+    the other functions here as a table."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    relative = F.element_at(F.split("path", root.rstrip("/") + "/", 2), -1)
+    files = files.withColumn("path", relative).filter(~skipped(F.col("path"), F.col("length")))
+    files = files.select("path", "length", "modificationTime", "content", *kinds(F.col("path"))).filter("is_code OR is_config OR is_security")
+    return files.withColumn("text", F.decode(F.try_validate_utf8(F.col("content").cast("string")).cast("binary"), "utf-8"))
+
+
+def fingerprints(files: DataFrame) -> DataFrame:
+    """sha512, sha3_512, size and entropy: of the first MB of files over one MB (entropy 0), of others whole; entropy only
+    under 100 KB."""
+    from larkspur.functions.python import sha3_512
+
+    ship(files.sparkSession)
+    large = F.col("length") > WHOLE
+    body = F.when(large, F.substring("content", 1, HEAD)).otherwise(F.col("content"))
+    return files.select("path", F.sha2(body, 512).alias("sha512"), sha3_512(body).alias("sha3_512"), F.col("length").alias("size"), F.when(F.col("length") < ENTROPY, entropy(F.coalesce("text", F.lit("")))).otherwise(0.0).alias("entropy"), (F.col("length") < DEEP).alias("deep"))
+
+
+def requirements(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(name, version) of requirement lines; == is dropped, other operators stay, a bare name has version ''."""
+    body = F.trim(F.regexp_replace(column, r"#.*$", ""))
+    m = r"^([A-Za-z0-9._-]+)(?:\[[^\]]*\])?\s*(==|>=|<=|~=|!=|<|>)?\s*([^;\s]*)"
+    op, version = F.regexp_extract(body, m, 2), F.regexp_extract(body, m, 3)
+    out = lines.filter((body != "") & ~body.startswith("-")).select(F.regexp_extract(body, m, 1).alias("name"), F.concat(F.when(op == "==", "").otherwise(op), version).alias("version"))
+    return out.filter("name <> ''").withColumn("ecosystem", F.lit("PyPI"))
+
+
+def package_json(files: DataFrame, column: str = "text") -> DataFrame:
+    """(name, version, dev) of dependencies and devDependencies."""
+    parsed = files.select(F.from_json(column, "dependencies map<string,string>, devDependencies map<string,string>").alias("p"))
+    out = parsed.select(F.explode("p.dependencies").alias("name", "version"), F.lit(False).alias("dev"))
+    return out.unionByName(parsed.select(F.explode("p.devDependencies").alias("name", "version"), F.lit(True).alias("dev"))).withColumn("ecosystem", F.lit("npm"))
+
+
+def package_lock(files: DataFrame, column: str = "text") -> DataFrame:
+    """(name, version) of a lock file: its `packages`, else its `dependencies`."""
+    kind = "packages map<string,struct<version:string>>, dependencies map<string,struct<version:string>>"
+    parsed = files.select(F.from_json(column, kind).alias("p"))
+    rows = parsed.select(F.explode(F.coalesce("p.packages", "p.dependencies")).alias("at", "d"))
+    return rows.filter("at <> ''").select(F.element_at(F.split("at", "node_modules/"), -1).alias("name"), F.coalesce("d.version", F.lit("")).alias("version")).withColumn("ecosystem", F.lit("npm"))
+
+
+def vulnerable(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Dependencies with their advisories from an offline table (ecosystem, name, version, id, severity)."""
+    return dependencies.join(advisories, ["ecosystem", "name", "version"], "left")
+
+
+def servers(configs: DataFrame, column: str = "text") -> DataFrame:
+    """(path, server, command, args) of client configurations with `mcpServers` or `servers`."""
+    entry = "map<string,struct<command:string,args:array<string>,url:string>>"
+    parsed = configs.select("path", F.from_json(column, f"mcpServers {entry}, servers {entry}").alias("c"))
+    return parsed.select("path", F.explode(F.coalesce("c.mcpServers", "c.servers")).alias("server", "s")).select("path", "server", "s.*")
+
+
+def git_history(commits: DataFrame) -> DataFrame:
+    """Findings of commits (sha, message, insertions, deletions): large changes, and telling words in the message."""
+    large = commits.filter("deletions > 500 OR insertions > 1000").select("sha", F.lit("large change").alias("name"), F.lit("HIGH").alias("severity"), F.lit(0.7).alias("confidence"))
+    told = commits.filter(F.lower("message").rlike("backdoor|malicious|hack|exploit|bypass")).select("sha", F.lit("message").alias("name"), F.lit("MEDIUM").alias("severity"), F.lit(0.6).alias("confidence"))
+    return large.unionByName(told)
