@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import text as X
 from larkspur.functions.python import ast_facts
 from larkspur.operators import context, detect, flows, policy, rules, score, signatures, store
-from larkspur.session import ship, table
+from larkspur.session import ship, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,15 +33,23 @@ def query(sql: str | None = None):
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 CARD = r"(?:[0-9]{4}[- ]?){3}[0-9]{4}"
 IP = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
+# The same matches for the Java engine, which would try every start within a run: a match starts where a run does or where
+# the last match ended.
+EMAIL_FAST = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 KINDS = {"email": EMAIL, "credit_card": CARD, "ip_address": IP}
 _UNION = " UNION ALL ".join(f"SELECT doc_id, lang, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS hit FROM documents" for k, p in KINDS.items())
 
 
+def _docs(spark, sf_dir, *columns):
+    """Documents for work on whole texts."""
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def _personal(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = _docs(spark, sf_dir, "doc_id", "lang", "text")
 
     def of(kind: str, pattern: str):
-        return F.transform(X.all_matches(F.col("text"), pattern), lambda h: F.struct(F.lit(kind).alias("kind"), h.alias("hit")))
+        return F.transform(X.all_matches(F.col("text"), EMAIL_FAST if kind == "email" else pattern), lambda h: F.struct(F.lit(kind).alias("kind"), h.alias("hit")))
 
     each = F.concat(*[of(k, p) for k, p in KINDS.items()])
     return docs.select("doc_id", "lang", F.explode(each).alias("f")).select("doc_id", "lang", "f.*")
@@ -70,7 +78,7 @@ def pattern_hits_by_category(spark, sf_dir):
     for s, t in (("documents", "text"), ("pages", "html")):
         probes = [(c, i, p) for c, ps in PROBES.items() for i, p in enumerate(ps)]
         each = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(i).alias("rule"), F.regexp_count(t, F.lit(p)).alias("n")) for c, i, p in probes])
-        rows = table(spark, sf_dir, s).select(F.lit(s).alias("source"), F.explode(each).alias("x")).select("source", "x.*")
+        rows = spread(table(spark, sf_dir, s).select(t)).select(F.lit(s).alias("source"), F.explode(each).alias("x")).select("source", "x.*")
         rows = rows.groupBy("source", "category", "rule").agg(F.sum("n").alias("hits"), F.count(F.when(F.col("n") > 0, 1)).alias("texts"))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -92,13 +100,13 @@ SELECT doc_id, x.o AS "offset", x.h AS hit, x.l AS line FROM (SELECT doc_id, unn
   'o': CAST(list_sum(list_transform(g[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda s: length(s))), 0) AS INTEGER), 'h': m[i],
   'l': CAST(1 + list_sum(list_transform(g[1:i], lambda s: length(s) - length(replace(s, chr(10), '')))) AS INTEGER)}})) AS x FROM c)""")
 def match_offsets(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(X.match_offsets(F.col("text"), EMAIL)).alias("m")).select("doc_id", "m.offset", "m.hit", "m.line")
+    return _docs(spark, sf_dir, "doc_id", "text").select("doc_id", F.explode(X.match_offsets(F.col("text"), EMAIL_FAST)).alias("m")).select("doc_id", "m.offset", "m.hit", "m.line")
 
 
 @query("""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents), n AS (SELECT doc_id, ch, count(*) AS k FROM c GROUP BY ALL),
 p AS (SELECT doc_id, k / sum(k) OVER (PARTITION BY doc_id) AS p FROM n) SELECT doc_id, round(-sum(p * log2(p)), 6) AS entropy FROM p GROUP BY doc_id""")
 def char_entropy(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(X.entropy(F.col("text")), 6).alias("entropy"))
+    return _docs(spark, sf_dir, "doc_id", "text").select("doc_id", F.round(X.entropy(F.col("text")), 6).alias("entropy"))
 
 
 @query("SELECT doc_id, left(sha256(text || ':' || coalesce(lang, '') || ':' || length(text)), 16) AS cache_key FROM documents")
@@ -146,8 +154,8 @@ _FINDINGS = " UNION ALL ".join(f"SELECT doc_id, source, lang, '{v}' AS category,
 
 
 def _findings(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    each = F.filter(F.array(*[F.when(F.col("text").rlike(p), F.struct(F.lit(v).alias("category"), F.lit(s).alias("severity"))) for v, p, s in VECTORS]), lambda x: x.isNotNull())
+    docs = _docs(spark, sf_dir, "doc_id", "source", "lang", "text")
+    each = F.filter(F.array(*[F.when(F.col("text").rlike(EMAIL_FAST if p == EMAIL else p), F.struct(F.lit(v).alias("category"), F.lit(s).alias("severity"))) for v, p, s in VECTORS]), lambda x: x.isNotNull())
     return docs.select("doc_id", "source", "lang", F.explode(each).alias("f")).select("doc_id", "source", "lang", "f.*")
 
 
@@ -422,7 +430,7 @@ def token_batches(spark, sf_dir):
 @query()
 def rule_findings(spark, sf_dir):
     """All built-in rules over all documents, with offsets and lines."""
-    return detect.scan(table(spark, sf_dir, "documents"), rules.builtin())
+    return detect.scan(_docs(spark, sf_dir, "doc_id", "text"), rules.builtin())
 
 
 #: Small sources of code, for the operators that read code.

@@ -28,6 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt over all cores if it comes from fewer files than there are: for work that costs far more than moving the
+    rows. Inputs of many files stay as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` written once to the shared checkpoint folder, so that later reads neither recompute it nor depend on one executor.
 
