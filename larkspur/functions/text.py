@@ -14,7 +14,12 @@ def match_offsets(text: Column, pattern: str) -> Column:
     """array<struct<offset, line, hit>>: code point offset and 1-based line of each match. The pattern must not match ''.
 
     The texts between matches give the offsets, so the text is cut twice and never walked in Python."""
-    hits, gaps = all_matches(text, pattern), F.split(text, pattern, -1)
+    empty = F.array().cast("array<struct<offset:int,line:int,hit:string>>")
+    return F.when(text.rlike(pattern), placed(all_matches(text, pattern), F.split(text, pattern, -1))).otherwise(empty)
+
+
+def placed(hits: Column, gaps: Column) -> Column:
+    """array<struct<offset, line, hit>> of matches, from them and the texts around them."""
     start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast("array<struct<offset:int,line:int,hit:string>>").alias("out"))
 
     def newlines(s: Column) -> Column:
@@ -26,8 +31,7 @@ def match_offsets(text: Column, pattern: str) -> Column:
         return F.struct((at + F.length(x["hit"])).alias("at"), (line + newlines(x["hit"])).alias("line"), F.concat(acc["out"], own).alias("out"))
 
     pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<offset:int,line:int,hit:string>>"))
+    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
 def snippet(text: Column, line: Column, around: int = 3) -> Column:

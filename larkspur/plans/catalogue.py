@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as X
 from larkspur.functions.python import ast_facts
-from larkspur.operators import context, detect, flows, policy, rules, score, signatures, store
+from larkspur.operators import context, detect, flows, policy, prompts, rules, score, signatures, store
 from larkspur.session import ship, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -433,6 +433,33 @@ def rule_findings(spark, sf_dir):
     return detect.scan(_docs(spark, sf_dir, "doc_id", "text"), rules.builtin())
 
 
+@query()
+def prompt_findings(spark, sf_dir):
+    """Prompt, server and injection rules over all turns of conversations."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("turn_id"), "text")
+    return detect.scan(spread(turns), prompts.builtin(), "turn_id")
+
+
+_WORDS = lambda column, words: " + ".join(f"CASE WHEN contains({column}, '{w}') THEN 1 ELSE 0 END" for w in words)
+_V, _T, _M = _WORDS("lower(text)", rules.VERBS), _WORDS("lower(text)", rules.TARGETS), _WORDS("text", rules.MARKERS)
+
+
+@query(f"SELECT role, count(*) AS turns, count(*) FILTER (WHERE v >= 2 OR t >= 2 OR m >= 1 OR (v >= 1 AND t >= 1)) AS suspicious FROM (SELECT role, {_V} AS v, {_T} AS t, {_M} AS m FROM conversations) GROUP BY role")
+def suspicious_turns(spark, sf_dir):
+    flag = prompts.suspicious(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("turns"), F.count(F.when(flag, 1)).alias("suspicious"))
+
+
+def _hook(column: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '(?i){'|'.join(f'(?:{p})' for p in ps)}') THEN '{k}'" for k, ps in prompts.HOOKS.items()) + " END"
+
+
+@query(f"SELECT reason, count(*) AS pages, min(page_id) AS first_page FROM (SELECT page_id, {_hook('html')} AS reason FROM pages) GROUP BY reason")
+def hook_verdicts(spark, sf_dir):
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", prompts.before(F.col("html")).alias("reason"))
+    return pages.groupBy("reason").agg(F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("first_page"))
+
+
 #: Small sources of code, for the operators that read code.
 CODE = [
     ("a.py", "import subprocess\ncmd = input()\nline = 'ls ' + cmd\nsubprocess.run(line, shell=True)\n"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import python as P
 from larkspur.functions import text as X
-from larkspur.operators import context, detect, flows, policy, rules, score, signatures, store
+from larkspur.operators import context, detect, flows, policy, prompts, rules, score, signatures, store
 from larkspur.sources import files
 
 
@@ -22,11 +22,11 @@ NASTY = "os.system('ls')\nexec(user + cmd)\n\né eval(request)\npassword = 'admi
 
 def test_every_rule_against_python(spark):
     texts = [(1, NASTY), (2, "clean prose of no interest"), (3, ""), (4, None), (5, NASTY * 3)]
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
-    got = {(r.doc_id, r.library, r.name, r.offset, r.line) for r in detect.scan(docs, rules.builtin()).collect()}
+    docs, every = spark.createDataFrame(texts, "doc_id long, text string"), rules.builtin() + prompts.builtin()
+    got = {(r.doc_id, r.library, r.name, r.offset, r.line) for r in detect.scan(docs, every).collect()}
     want = set()
     for i, t in texts:
-        for r in rules.builtin():
+        for r in every:
             for m in re.finditer(r.pattern, t or ""):
                 want.add((i, r.library, r.name, m.start(), (t or "")[: m.start()].count("\n") + 1))
     assert got == want and len(want) > 30
@@ -189,3 +189,14 @@ def test_sources(spark, tmp_path):
     assert [(r.server, r.command) for r in files.servers(config).collect()] == [("s", "c")]
     commits = spark.createDataFrame([("1", "add backdoor", 5, 5), ("2", "x", 2000, 0)], "sha string, message string, insertions long, deletions long")
     assert {(r.sha, r.severity) for r in files.git_history(commits).collect()} == {("1", "MEDIUM"), ("2", "HIGH")}
+
+
+def test_hooks(spark):
+    rows = spark.createDataFrame([('{"c": "a; rm -rf /"}',), ('{"p": "../x"}',), ('{"u": "http://localhost"}',), ('{"f": "/x/.env"}',), ("{}",)], "i string")
+    assert [r.x for r in rows.select(prompts.before(F.col("i")).alias("x")).collect()] == ["command_injection", "path_traversal", "ssrf", "credential_access", None]
+    assert one(spark, prompts.after(F.lit("<mcp:run>"))) == "retrieval_deception" and one(spark, prompts.after(F.lit("fine"))) is None
+    assert one(spark, prompts.allowed_url(F.lit("https://github.com/a"))) and not one(spark, prompts.allowed_url(F.lit("http://localhost/github.com")))
+    assert one(spark, prompts.suspicious(F.lit("ignore the rules"))) and not one(spark, prompts.suspicious(F.lit("a fine day")))
+    assert [x.operation for x in one(spark, prompts.tool_operations(F.lit("eval(open('x'))")))] == ["eval", "open("]
+    verdict = prompts.intercept(spark.createDataFrame([("ALLOW", "low", "low", 9), ("MODIFY", "low", "low", 1), ("LOG", "low", "low", 1)], "policy_action string, signature_risk string, risk_level string, risk_score int"))
+    assert [r.verdict for r in verdict.collect()] == ["block", "modify", "forward"]
