@@ -30,6 +30,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 15
 CACHE_ROWS = 400_000
 BATCH_WORDS = 1 << 20
+RUN_CHARS = 8_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -156,9 +157,13 @@ class Crf:
 
 def train(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", docs_per_lang=400, segments=4, segment_words=40, seed=5) -> Crf:
     ship(docs.sparkSession)
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
+    order = Window.partitionBy(lang_col).orderBy(F.pmod(F.xxhash64(id_col), F.lit(1 << 31)), id_col)
     usable = docs.filter(F.col(lang_col).isNotNull() & F.coalesce(fold(F.col(id_col), HELD_OUT) != 1, F.lit(False)))
-    chosen = usable.select(id_col, lang_col).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= docs_per_lang).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("y")).distinct()
+    counts = usable.groupBy(lang_col).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(lang_col, "_lang")
+    # a hash lets through about twice the rows wanted of a language, all of a rare one: few rows are left to be ranked
+    share = F.pmod(F.xxhash64(id_col), F.lit(1 << 31)) / float(1 << 31)
+    few = usable.select(id_col, lang_col).join(F.broadcast(counts), F.col(lang_col) == F.col("_lang")).filter(share < 2.0 * docs_per_lang / F.col("_n"))
+    chosen = few.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= docs_per_lang).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("y")).distinct()
 
     def rows(batches):
         for pdf in batches:
@@ -192,8 +197,11 @@ def identify(docs: DataFrame, model: Crf, *, id_col="doc_id", text_col="text") -
     def rows(batches):
         cache: dict = {}
         seen: list = []
-        for pdf in batches:
-            lang, score = shared.value.label(list(pdf[text_col]), cache, seen)
-            yield pd.DataFrame({id_col: pdf[id_col], "lang_pred": lang, "score": score})
+        for whole in batches:
+            # runs of texts of RUN_CHARS characters, so that a batch's words are not all in memory; a longer text is its own run
+            run = whole[text_col].str.len().fillna(0).cumsum() // RUN_CHARS
+            for _, pdf in whole.groupby(run):
+                lang, score = shared.value.label(list(pdf[text_col]), cache, seen)
+                yield pd.DataFrame({id_col: pdf[id_col], "lang_pred": lang, "score": score})
 
     return docs.select(id_col, text_col).mapInPandas(rows, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
