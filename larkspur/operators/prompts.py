@@ -21,15 +21,16 @@ PROMPT = {
 }
 # Patterns of attacks on tool servers (pattern, confidence).
 SERVER = {
-    "tool_description_injection": [(r"read.*mcp\.json.*pass.*sidenote", 0.9), (r"retrieve.*description.*user.*workstation", 0.9), (r"chmod\s+-R\s+0666", 0.95), (r"all\s+commands\s+must\s+include", 0.85), (r"mandatory\s+compliance", 0.8), (r"highest\s+priority.*over.*other.*tools", 0.85), (r"insert.*vulnerability.*generated.*code", 0.95), (r"filter.*security.*warnings", 0.85)],
+    "tool_description_injection": [(r"read.*mcp\.json.*pass.*sidenote", 0.9), (r"retrieve.*description.*user.*workstation", 0.9), (r"chmod\s+-R\s+0666", 0.95), (r"all\s+commands\s+must\s+include", 0.85), (r"mandatory\s+compliance", 0.8), (r"highest\s+priority.*over.*other.*tools", 0.85), (r"insert.*vulnerability.*generated.*code", 0.95), (r"filter.*security.*warnings", 0.85), (r"<IMPORTANT>.*before.*using.*tool", 0.95), (r"tool.*will.*not.*work.*unless", 0.85), (r"thank\s+you.*send.*conversation.*history", 0.9), (r"thank you.*conversation\s+history", 0.85), (r"send.*full\s+conversation\s+history", 0.9), (r"when.*detected.*send.*full.*history", 0.9), (r"duplicate.*code.*snippets.*silently", 0.9)],
     "conversation_history_theft": [(r"send.*conversation.*history", 0.85), (r"full\s+conversation\s+history", 0.9), (r"all\s+messages.*metadata", 0.85), (r"do\s+not\s+notify.*user", 0.8)],
-    "insecure_credential_storage": [(r"plaintext.*api.*key", 0.9), (r"world.*readable.*credential", 0.95), (r"-rw-r--r--.*password", 0.85), (r"store.*credential.*json", 0.8)],
-    "ansi_terminal_deception": [(r"\\x1[Bb]\[38;5;\d+", 0.85), (r"\\x1[Bb]\]8;;.*\\x1[Bb]\\", 0.85), (r"\\033\[[0-9;]*m", 0.7), (r"\\e\[[0-9;]*[mGKHF]", 0.75)],
-    "remote_code_execution": [(r"0\.0\.0\.0[:/]", 0.9), (r"/sse.*command=", 0.9), (r"dns.*rebinding.*attack", 0.8), (r"exec\(.*request\.", 0.95), (r"eval\(.*user.*input", 0.95), (r"subprocess.*shell\s*=\s*True", 0.9), (r"os\.system\(.*request", 0.95)],
-    "rug_pull_attack": [(r"if.*time.*>\s*\d+", 0.8), (r"after.*initial.*approval", 0.8), (r"sleeper.*activation", 0.9), (r"description.*update.*without.*notification", 0.85)],
-    "hidden_instruction_obfuscation": [(r"padding.*push.*off.*screen", 0.85), (r"hidden.*scrollbar", 0.8), (r"invisible.*text.*color", 0.8)],
-    "dns_rebinding_attack": [(r"dns.*rebind", 0.9), (r"resolve.*localhost.*external", 0.85), (r"host.*header.*injection", 0.8)],
-    "api_key_exposure": [(r"OPENAI_API_KEY", 0.9), (r"AWS_SECRET_ACCESS_KEY", 0.95), (r"GITHUB_TOKEN", 0.9), (r"api[_-]?key.*=.*['\"][A-Za-z0-9]{20,}", 0.85), (r"bearer\s+[A-Za-z0-9\-._~+/]+=*", 0.8)],
+    "whatsapp_message_exfiltration": [(r"_get_all_messages.*messages\.db", 0.95), (r"forward.*message.*proxy.*number", 0.9), (r"whatsapp.*message.*history", 0.85), (r"contact.*list.*exfiltrat", 0.85), (r"reprogram.*agent.*interaction", 0.8)],
+    "insecure_credential_storage": [(r"plaintext.*api.*key", 0.9), (r"world.*readable.*credential", 0.95), (r"-rw-r--r--.*password", 0.85), (r"store.*credential.*json", 0.8), (r"~/Library/Application\s+Support.*config", 0.8), (r"claude_desktop_config\.json", 0.9), (r"~/.cursor/logs/conversations", 0.85)],
+    "ansi_terminal_deception": [(r"\\x1[Bb]\[38;5;\d+", 0.85), (r"\\x1[Bb]\]8;;.*\\x1[Bb]\\", 0.85), (r"\\033\[[0-9;]*m", 0.7), (r"\\e\[[0-9;]*[mGKHF]", 0.75), (r"\\x1[Bb]\[2F\\x1[Bb]\[1G", 0.9), (r"\\x1[Bb]\[1;1H\\x1[Bb]\[0J", 0.9)],
+    "remote_code_execution": [(r"0\.0\.0\.0[:/]", 0.9), (r"/sse.*command=", 0.9), (r"dns.*rebinding.*attack", 0.8), (r"exec\(.*request\.", 0.95), (r"eval\(.*user.*input", 0.95), (r"subprocess.*shell\s*=\s*True", 0.9), (r"os\.system\(.*request", 0.95), (r"csrf.*cross.*site.*request", 0.85)],
+    "rug_pull_attack": [(r"if.*time.*>\s*\d+", 0.8), (r"after.*initial.*approval", 0.8), (r"sleeper.*activation", 0.9), (r"description.*update.*without.*notification", 0.85), (r"trusted.*=.*True.*then", 0.85), (r"tool.*behavior.*change", 0.75)],
+    "hidden_instruction_obfuscation": [(r"padding.*push.*off.*screen", 0.85), (r"hidden.*scrollbar", 0.8), (r"invisible.*text.*color", 0.8), (r"\s{100,}", 0.7), (r"overflow.*hidden.*instruction", 0.8), (r"\\u200[bcde]", 0.85)],
+    "dns_rebinding_attack": [(r"dns.*rebind", 0.9), (r"resolve.*localhost.*external", 0.85), (r"host.*header.*injection", 0.8), (r"ttl.*=.*0", 0.7)],
+    "api_key_exposure": [(r"OPENAI_API_KEY", 0.9), (r"AWS_SECRET_ACCESS_KEY", 0.95), (r"GITHUB_TOKEN", 0.9), (r"api[_-]?key.*=.*['\"][A-Za-z0-9]{20,}", 0.85), (r"bearer\s+[A-Za-z0-9\-._~+/]+=*", 0.8), (r"ANTHROPIC_API_KEY", 0.9)],
 }
 # Semantic injection patterns.
 INJECTION = [r"ignore\s+previous\s+instructions", r"disregard\s+all\s+prior", r"new\s+instructions\s*:", r"system\s*:\s*you\s+are", r"</system>.*<system>", r"```system", r"IMPORTANT\s*:\s*New\s+directive", r"Override\s+security", r"Bypass\s+all\s+safety"]
@@ -44,7 +45,7 @@ LEAKS = {
     "data_leakage": [r"[A-Z0-9]{20}", r"-----BEGIN\s+(?:RSA\s+)?PRIVATE\s+KEY-----", r"Bearer\s+[A-Za-z0-9\-_]+", r"api[_-]?key[\"\s:=]+[\"']?[A-Za-z0-9\-_]{20,}", r"password[\"\s:=]+[\"']?[^\"'\s]{8,}", r"secret[\"\s:=]+[\"']?[A-Za-z0-9\-_]{20,}"],
     "retrieval_deception": [r"<mcp:.*?>", r"<!--\s*mcp:.*?-->", r"\[mcp:.*?\]", r"data:.*mcp.*base64", r"\{\"mcp\":\s*\{.*\"command\""],
 }
-GRAVE = {"prompt": ({"command_override", "privilege_escalation", "mcp_tool_poisoning"}, 0.85), "server": ({"remote_code_execution", "tool_description_injection", "conversation_history_theft"}, 0.8)}
+GRAVE = {"prompt": ({"command_override", "privilege_escalation", "mcp_tool_poisoning"}, 0.85), "server": ({"remote_code_execution", "tool_description_injection", "conversation_history_theft", "whatsapp_message_exfiltration"}, 0.8)}
 SERIOUS = {"insecure_credential_storage", "api_key_exposure", "rug_pull_attack", "ansi_terminal_deception"}
 
 
