@@ -129,3 +129,82 @@ def path_priority(path: Column) -> Column:
     for word, n in losses.items():
         score = score - F.when(F.contains(p, F.lit(word)), n).otherwise(0)
     return F.greatest(F.lit(0), score)
+
+
+# Advice to install packages, and the note left where such advice was taken out.
+INSTALLS = [r"\bpip3?\s+install\b", r"\bnpm\s+install\b", r"\byarn\s+add\b", r"\bpnpm\s+add\b", r"\bpoetry\s+add\b", r"\bconda\s+install\b", r"\bbrew\s+install\b", r"\bapt(-get)?\s+install\b", r"\bapk\s+add\b", r"\bgo\s+get\b", r"\bcargo\s+add\b", r"\bgem\s+install\b", r"\bcomposer\s+require\b"]
+NOTE = "Note: External dependency installation is not permitted in remediation. Provide code/config changes within the repository only."
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
+
+
+def lines_of(text: Column) -> Column:
+    """Lines without their ends; an end at the very last makes no further line."""
+    return F.split(F.regexp_replace(text, f"(?:{LINE_END})\\z", ""), LINE_END, -1)
+
+
+def without_advice(text: Column, patterns: list[str] = INSTALLS) -> Column:
+    """The lines that match none of the patterns; where some did, the note follows, once."""
+    lines = lines_of(text)
+    kept = F.filter(lines, lambda s: ~s.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)))
+    out = F.array_join(kept, "\n")
+    return F.when((F.size(kept) < F.size(lines)) & ~F.contains(out, F.lit(NOTE)), F.concat(out, F.lit("\n" + NOTE))).otherwise(out)
+
+
+# Names that no one hides behind.
+PLAIN_NAMES = "formatted format result results response request data value values content contents output input message error errors schema config options params parameters args kwargs callback handler buffer stream reader writer parser parsed indent index count counter length size offset limit timeout headers status metadata context state cache temp temporary file files path paths directory folder json_string json_data validated validator expected_type".split()
+
+
+def suspicious_names(code: Column) -> Column:
+    """Sorted names that are assigned to and look random, hexadecimal or like base64."""
+    names = F.array_distinct(F.regexp_extract_all(code, F.lit(r"\b([a-zA-Z_][a-zA-Z0-9_]*)\s*="), F.lit(1)))
+
+    def odd(v: Column) -> Column:
+        low = F.lower(v)
+        return ~low.isin(PLAIN_NAMES) & (((F.length(v) > 5) & (entropy(v) > 4.0)) | low.rlike("^[a-f0-9]{8,}$") | v.rlike("^[A-Za-z0-9+/]{8,}={0,2}$"))
+
+    return F.sort_array(F.filter(names, odd))
+
+
+def is_url(target: Column) -> Column:
+    return F.coalesce(target.rlike(r"(?i)^(?:(?:https?|ftp|git|ssh)://|(?:github\.com|gitlab\.com|bitbucket\.org)/|www\.)"), F.lit(False))
+
+
+def github_repository(url: Column) -> Column:
+    """struct<owner, name> of a repository's address, else null."""
+    shape = r"(?i)^(?:https?://)?(?:www\.)?github\.com/+([^/?#]+)/([^/?#]+)"
+    named = F.struct(F.regexp_extract(url, shape, 1).alias("owner"), F.regexp_replace(F.regexp_extract(url, shape, 2), r"\.git$", "").alias("name"))
+    return F.when(url.rlike(shape), named)
+
+
+def normalized_github(url: Column) -> Column:
+    repo = github_repository(url)
+    return F.when(repo.isNotNull(), F.concat(F.lit("https://github.com/"), repo["owner"], F.lit("/"), repo["name"])).otherwise(url)
+
+
+# Paths that no request may name.
+BLOCKED_PATHS = [r"\.\./", r"/\.\.", r"^/etc/", r"^/var/", r"^/usr/", r"^/root/", r"^/home/[^/]+/\.", r"\.ssh/", r"\.env", r"\.git/", r"\.svn/", r"id_rsa", r"\.pem$", r"\.key$", r"shadow$", r"passwd$"]
+
+
+def path_refusal(path: Column, roots: list[str]) -> Column:
+    """Why an absolute path is refused (empty, restricted, outside the roots), else null. Links are not followed."""
+    inside = F.lit(False)
+    for root in roots:
+        inside = inside | (path == root.rstrip("/")) | path.startswith(root.rstrip("/") + "/")
+    blocked = path.rlike("(?i)" + "|".join(f"(?:{p})" for p in BLOCKED_PATHS))
+    return F.when(F.coalesce(path, F.lit("")) == "", "empty").when(blocked, "restricted").when(~inside, "outside")
+
+
+def url_refusal(url: Column) -> Column:
+    """Why a repository's address is refused, else null."""
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    out = F.when(F.coalesce(url, F.lit("")) == "", "empty").when(~url.rlike("(?i)^https?:"), "scheme")
+    return out.when(~host.isin("github.com", "raw.githubusercontent.com"), "domain").when(~url.rlike(r"^https?://github\.com/[a-zA-Z0-9_.-]+/[a-zA-Z0-9_.-]+/?$"), "form")
+
+
+def options_refusal(options: Column) -> Column:
+    """Why a map<string, string> of scan options is refused, else null. Further options are ignored."""
+    out = F.when(F.lit(False), "")
+    for name in ("quick_mode", "enable_llm", "deep_scan"):
+        out = out.when(F.map_contains_key(options, name) & ~F.coalesce(F.lower(options[name]).isin("true", "false"), F.lit(False)), f"{name} must be boolean")
+    fits = F.coalesce(options["profile"].isin("production", "development", "security-tool"), F.lit(False))
+    return out.when(F.map_contains_key(options, "profile") & ~fits, "profile is not known")

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as X
-from larkspur.functions.python import ast_facts
-from larkspur.operators import context, detect, flows, policy, prompts, rules, score, signatures, store
+from larkspur.functions.python import ast_facts, behavior
+from larkspur.operators import context, detect, flows, linewise, policy, prompts, ranking, report, rules, score, signatures, store, tools
 from larkspur.session import ship, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -477,3 +477,160 @@ def ast_call_facts(spark, sf_dir):
 @query()
 def taint_paths(spark, sf_dir):
     return flows.taint_in_code(spark.createDataFrame(CODE, "path string, content string"))
+
+
+@query()
+def line_rules(spark, sf_dir):
+    """All line rules over all turns of conversations: the first that matches, by line and category."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("turn_id"), "text")
+    return linewise.scan(spread(turns), "turn_id")
+
+
+#: A knowledge base with hits in prose: an address is excused where an exclamation stands near.
+_NEAR = [("contact", "email", 0.9, "Contact", [EMAIL_FAST], ["!!"])]
+_PLACES = f"""(SELECT doc_id, text, unnest(list_transform(range(1, len(m) + 1), lambda i: {{
+  'o': CAST(list_sum(list_transform(g[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda s: length(s))), 0) AS INTEGER), 'h': m[i]}})) AS x
+  FROM (SELECT doc_id, text, regexp_extract_all(text, '{EMAIL}') AS m, string_split_regex(text, '{EMAIL}') AS g FROM documents WHERE text IS NOT NULL))"""
+
+
+@query(f"""SELECT doc_id, x.o AS "offset", x.h AS hit FROM {_PLACES} WHERE NOT contains(substr(text, greatest(0, x.o - 100) + 1, x.o + length(x.h) + 100 - greatest(0, x.o - 100)), '!!')""")
+def excused_matches(spark, sf_dir):
+    return linewise.known(_docs(spark, sf_dir, "doc_id", "text"), _NEAR).select("doc_id", "offset", "hit")
+
+
+def _has(words: list[str], where: str) -> str:
+    return "(" + " OR ".join(f"contains({where}, '{w.replace(chr(39), chr(39) * 2)}')" for w in words) + ")"
+
+
+_BARE = r"regexp_replace(s, '^\s+|\s+$', '', 'g')"
+_QUOTED = f"regexp_matches({_BARE}, '^r?[''\"]')"
+_DEFINES = f"""({_has(linewise.DEFINING, 'lower(s)')} OR ({_QUOTED} AND ({_BARE} LIKE '%,' OR contains({_BARE}, ',  #'))) OR {_has(["'input':", '"input":'], 's')}
+  OR {_has(["patterns = [", "patterns': ["], 'lower(s)')} OR ({_QUOTED} AND {_has(linewise.LOOKS, 's')}) OR (contains(s, '=') AND regexp_matches(s, '[''"]') AND {_has(linewise.NAMES, "split_part(lower(s), '=', 1)")}))"""
+
+
+@query(f"SELECT page_id, count(*) AS lines, count(*) FILTER (WHERE {_DEFINES}) AS defining FROM (SELECT page_id, unnest(string_split(coalesce(html, ''), chr(10))) AS s FROM pages) GROUP BY page_id")
+def pattern_definitions(spark, sf_dir):
+    lines = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.split(F.coalesce("html", F.lit("")), "\n").alias("s"))
+    return lines.select("page_id", F.size("s").cast("long").alias("lines"), F.size(F.filter("s", lambda s: linewise.defines_pattern(s))).cast("long").alias("defining"))
+
+
+_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_ADVISED = "(?i)licen[cs]e|copyright"
+
+
+@query(f"""WITH l AS (SELECT doc_id, string_split_regex(regexp_replace(text, '(?:{_ENDS})\\z', ''), '{_ENDS}') AS s FROM documents),
+k AS (SELECT doc_id, s, list_filter(s, lambda x: NOT regexp_matches(x, '{_ADVISED}')) AS kept FROM l)
+SELECT doc_id, len(s) - len(kept) AS removed, md5(array_to_string(kept, chr(10)) || CASE WHEN len(kept) < len(s) THEN chr(10) || '{X.NOTE}' ELSE '' END) AS digest FROM k""")
+def advice_removed(spark, sf_dir):
+    docs, t = _docs(spark, sf_dir, "doc_id", "text"), F.col("text")
+    removed = F.size(F.filter(X.lines_of(t), lambda s: s.rlike(_ADVISED))).cast("long")
+    return docs.select("doc_id", removed.alias("removed"), F.md5(X.without_advice(t, [_ADVISED.removeprefix("(?i)")])).alias("digest"))
+
+
+@query(r"""SELECT page_id, CASE WHEN coalesce(url, '') = '' THEN 'empty' WHEN NOT regexp_matches(url, '(?i)^https?:') THEN 'scheme'
+  WHEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) NOT IN ('github.com', 'raw.githubusercontent.com') THEN 'domain'
+  WHEN NOT regexp_matches(url, '^https?://github\.com/[a-zA-Z0-9_.-]+/[a-zA-Z0-9_.-]+/?$') THEN 'form' END AS refusal,
+  coalesce(regexp_matches(url, '(?i)^(?:(?:https?|ftp|git|ssh)://|(?:github\.com|gitlab\.com|bitbucket\.org)/|www\.)'), false) AS is_url FROM pages""")
+def url_checks(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.url_refusal(F.col("url")).alias("refusal"), X.is_url(F.col("url")).alias("is_url"))
+
+
+def _n(pattern: str) -> str:
+    return f"len(regexp_extract_all(t, '{pattern}'))"
+
+
+def _w(word: str) -> str:
+    return f"(length(t) - length(replace(t, '{word}', ''))) / {len(word)}"
+
+
+_LONG = "length(t) - length(replace(t, chr(10), '')) + 1"
+_BRANCH = rf"{_n(r'\bif\s+|elif\s+|else:')} + {_n(r'\bfor\s+|\bwhile\s+')}"
+_COMPLEX = rf"""((CASE WHEN {_LONG} > 50 AND {_LONG} < 500 THEN 3 WHEN {_LONG} >= 500 THEN 2 ELSE 0 END) + (CASE WHEN {_BRANCH} > 10 THEN 3 WHEN {_BRANCH} > 5 THEN 2 ELSE 0 END)
+  + (CASE WHEN {_n(r'\bclass\s+\w+')} > 2 OR {_n(r'\bdef\s+\w+')} > 5 THEN 2 ELSE 0 END) + (CASE WHEN {_n(r'\btry:')} > 2 THEN 2 ELSE 0 END)) / 10.0"""
+_OBSCURE = " + ".join(f"{w} * least(1.0, {x})" for w, x in [
+    (0.2, rf"{_n(r'\b[a-z_]\s*=')} / greatest(1.0, {_w('=')})"), (0.2, rf"{_n(r'\\x[0-9a-f]{2}')} / 100.0"), (0.15, "CAST(contains(t, 'base64') AS INTEGER)"),
+    (0.25, f"({_w('eval')} + {_w('exec')}) / 10.0"), (0.1, _n("[\"''][^\"'']{200,}[\"'']") + " / 5.0"), (0.1, rf"{_n(r'\\u[0-9a-f]{4}')} / 50.0"),
+])
+
+
+@query(f"SELECT page_id, round(CAST({_COMPLEX} AS DOUBLE), 6) AS complexity, round(CAST({_OBSCURE} AS DOUBLE), 6) AS obfuscation FROM (SELECT page_id, coalesce(html, '') AS t FROM pages)")
+def code_scores(spark, sf_dir):
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("t")))
+    return pages.select("page_id", F.round(ranking.complexity(F.col("t")), 6).alias("complexity"), F.round(ranking.obfuscation(F.col("t")), 6).alias("obfuscation"))
+
+
+@query()
+def file_ranks(spark, sf_dir):
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"), F.col("html").alias("content"), *[F.lit(0).alias(c) for c in ("n_critical", "n_high", "n_dependencies")]))
+    return ranking.rank(pages).select("page_id", F.round("rank", 6).alias("rank"), "importance")
+
+
+_SENT = {k: " OR ".join(f"contains({'t' if k == 'logic_flaws' else 'lower(t)'}, '{w}')" for w in ws) for k, ws in ranking.PASSES.items()}
+
+
+@query(f"""WITH f AS (SELECT source, {', '.join(f'bool_or({x}) AS {k}' for k, x in _SENT.items())}, count(*) AS n, sum(length(t)) + count(*) - 1 AS c FROM (SELECT source, coalesce(text, '') AS t FROM documents) GROUP BY source)
+SELECT source, concat_ws(',', 'initial_scan', {', '.join(f"CASE WHEN {k}{' AND c > 1000' if k == 'logic_flaws' else ''} THEN '{k}' END" for k in ranking.PASSES)}, CASE WHEN entry_points THEN 'data_flow' END, CASE WHEN n > 5 OR c > 5000 THEN 'deep_chains' END) AS passes FROM f""")
+def model_passes(spark, sf_dir):
+    return ranking.passes(_docs(spark, sf_dir, "source", "text"), "source", "text").select("source", F.array_join("passes", ",").alias("passes"))
+
+
+@query(r"""SELECT role, count(*) AS turns, count(*) FILTER (WHERE signs >= 2) AS confusing FROM (SELECT role, CAST(len(regexp_extract_all(t, 'Human:')) > 1 AS INTEGER) + CAST(contains(t, 'Assistant:') AS INTEGER)
+  + CAST(contains(t, 'System:') AS INTEGER) + CAST(contains(t, '###') AND contains(lower(t), 'instruction') AS INTEGER) + CAST(regexp_matches(t, '<\|.*?\|>') AS INTEGER) AS signs
+  FROM (SELECT role, coalesce(text, '') AS t FROM conversations)) GROUP BY role""")
+def confusing_turns(spark, sf_dir):
+    flag = tools.confuses_context(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("turns"), F.count(F.when(flag, 1)).alias("confusing"))
+
+
+@query()
+def encoded_turns(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("role", tools.encoded_injection(F.coalesce("text", F.lit(""))).alias("encoding"))
+    return turns.groupBy("role", "encoding").agg(F.count(F.lit(1)).alias("turns"))
+
+
+_ADVICE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in report.MITIGATIONS.items())
+
+
+@query(f"""SELECT source, string_agg(DISTINCT category, ',' ORDER BY category) AS vectors, count(DISTINCT CASE category {_ADVICE} END) AS mitigations FROM ({_FINDINGS}) GROUP BY source""")
+def mitigation_advice(spark, sf_dir):
+    out = report.advice(_findings(spark, sf_dir), "source")
+    return out.select("source", F.array_join("vectors", ",").alias("vectors"), F.size("mitigations").cast("long").alias("mitigations"))
+
+
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s.lower()}" for s in rules.RANK)
+_TEXT = "'Report: ' || source || chr(10) || 'Findings: ' || findings" + "".join(f" || chr(10) || '  {s}: ' || {s.lower()}" for s in rules.RANK)
+
+
+@query(f"SELECT source, {_TEXT} AS report FROM (SELECT source, count(*) AS findings, {_COUNTS} FROM ({_FINDINGS}) GROUP BY source)")
+def text_reports(spark, sf_dir):
+    return report.as_text(report.by_severity(_findings(spark, sf_dir), "source"), "source")
+
+
+@query("SELECT event_id, CASE WHEN user_id % 10 = 0 OR event_type = 'error' OR value >= 80 THEN 'critical' WHEN user_id % 10 = 1 OR value >= 60 THEN 'high' WHEN event_type = 'click' OR value >= 40 THEN 'medium' ELSE 'low' END AS level, coalesce(user_id % 10 = 0 OR event_type = 'error' OR value >= 80, false) AS block FROM events")
+def tool_verdicts(spark, sf_dir):
+    who, kind = F.col("user_id") % 10, F.col("event_type")
+    action = F.when(kind == "error", "block").when(kind == "click", "modify").otherwise("allow")
+    v = report.tool_verdict(F.when(who == 0, "blacklisted").otherwise("known"), who == 1, action, F.lit(None).cast("string"), F.col("value") / 10, F.lit(None).cast("array<string>"))
+    return table(spark, sf_dir, "events").select("event_id", v.alias("v")).select("event_id", "v.level", "v.block")
+
+
+@query()
+def balanced_order(spark, sf_dir):
+    """Documents of each source in turns of high, middling and low rank, by a stand-in rank."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", (F.pmod(F.col("doc_id") * 37, F.lit(100)) / 100).alias("rank"))
+    return ranking.balanced(docs, "source", order=("doc_id",)).select("source", "doc_id", F.col("turn").cast("long"))
+
+
+@query()
+def tool_inventory(spark, sf_dir):
+    """What the small sources of code offer as tools: names, imports, operations, concerns, score."""
+    rows = spark.createDataFrame([(f"src/tool_{p}", c) for p, c in CODE], "path string, content string")
+    return tools.describe(rows)
+
+
+@query()
+def code_behavior(spark, sf_dir):
+    """Indicators of what the small sources of code do, and the risk they come to."""
+    ship(spark)
+    rows = spark.createDataFrame(CODE, "path string, content string").select("path", behavior(F.col("content")).alias("found"))
+    return rows.select("path", F.size("found").cast("long").alias("indicators"), tools.semantic_risk(F.col("found")).alias("r")).select("path", "indicators", "r.*")
