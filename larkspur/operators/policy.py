@@ -150,3 +150,15 @@ def resolve(rows: DataFrame, policies: list[tuple[str, int, str, str]], field: C
         changes = F.map_from_entries(out)
     action = F.when(block.isNotNull(), "BLOCK").when(modify.isNotNull(), "MODIFY").when(log.isNotNull(), "LOG").otherwise("ALLOW")
     return rows.withColumn("action", action).withColumn("policy", F.coalesce(block, modify, log)).withColumn("changes", F.when(block.isNull(), changes))
+
+
+def render(template: str, values: dict, defaults: dict | None = None) -> str:
+    """A policy template with its `{{ name }}` places filled: lists as JSON, strings quoted, other values as they print."""
+
+    def told(value) -> str:
+        return json.dumps(value) if isinstance(value, list) else f'"{value}"' if isinstance(value, str) else str(value)
+
+    out = template
+    for name, value in {**(defaults or {}), **values}.items():
+        out = out.replace(f"{{{{ {name} }}}}", told(value))
+    return out.strip()

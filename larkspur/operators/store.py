@@ -69,3 +69,21 @@ def pack_tokens(items: DataFrame, group: str, order: list[str], size: str, most:
 
     out = rows.withColumn("batches", F.aggregate("items", start, step, lambda acc: acc["out"]))
     return out.select(group, F.explode(F.arrays_zip("items", "batches")).alias("x")).select(group, "x.items.*", F.col("x.batches").alias("batch"))
+
+
+def adaptive_thresholds(history: DataFrame, critical: str = "critical_count", high: str = "high_count") -> DataFrame:
+    """Thresholds for leaving early, from the means of past scans; the defaults where there are none."""
+    c, h = F.coalesce(F.avg(critical), F.lit(0.0)), F.coalesce(F.avg(high), F.lit(0.0))
+    return history.agg(F.greatest(F.lit(3), F.floor(c * 1.5)).cast("long").alias("critical"), F.greatest(F.lit(10), F.floor(h * 1.5)).cast("long").alias("high"), ((F.count(critical) > 0) & (c < 0.5)).alias("first_critical"))
+
+
+def batch_stats(batches: DataFrame, tokens: str = "tokens", score: str = "rank") -> DataFrame:
+    """Files, tokens and files of three bands of rank over all batches."""
+    s = F.col(score)
+    band = {"high": s >= 0.7, "medium": (s >= 0.4) & (s < 0.7), "low": s < 0.4}
+    return batches.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens"), F.round(F.avg(tokens), 6).alias("mean_tokens"), *[F.count(F.when(x, 1)).alias(k) for k, x in band.items()])
+
+
+def client_summary(configs: DataFrame, client: str = "client", path: str = "path", servers: str = "n_servers") -> DataFrame:
+    """Configurations and servers of each client, with a total (client null)."""
+    return configs.rollup(client).agg(F.count(F.lit(1)).alias("configs"), F.sum(servers).alias("servers"), F.countDistinct(path).alias("paths"))

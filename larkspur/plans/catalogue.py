@@ -10,8 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions import answers
 from larkspur.functions import text as X
 from larkspur.functions.python import ast_facts, behavior
+from larkspur.functions.taint import taint_flows
 from larkspur.operators import context, detect, flows, linewise, policy, prompts, ranking, report, rules, score, signatures, store, tools
 from larkspur.session import ship, spread, table
 
@@ -634,3 +636,49 @@ def code_behavior(spark, sf_dir):
     ship(spark)
     rows = spark.createDataFrame(CODE, "path string, content string").select("path", behavior(F.col("content")).alias("found"))
     return rows.select("path", F.size("found").cast("long").alias("indicators"), tools.semantic_risk(F.col("found")).alias("r")).select("path", "indicators", "r.*")
+
+
+@query()
+def module_taint(spark, sf_dir):
+    """Flows from sources to sinks in the small sources of code, fields and callers kept apart."""
+    ship(spark)
+    rows = spark.createDataFrame(CODE, "path string, content string").select("path", F.explode(taint_flows(F.col("content"))).alias("f")).select("path", "f.*")
+    return rows.withColumn("steps", F.array_join("steps", ","))
+
+
+@query("""WITH h AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS c, count(*) FILTER (WHERE event_type = 'click') AS k FROM events GROUP BY user_id), a AS (SELECT avg(c) AS c, avg(k) AS k FROM h)
+SELECT greatest(3, CAST(floor(c * 1.5) AS BIGINT)) AS critical, greatest(10, CAST(floor(k * 1.5) AS BIGINT)) AS high, c < 0.5 AS first_critical FROM a""")
+def exit_thresholds(spark, sf_dir):
+    of = lambda kind: F.count(F.when(F.col("event_type") == kind, 1))
+    past = table(spark, sf_dir, "events").groupBy("user_id").agg(of("error").alias("critical_count"), of("click").alias("high_count"))
+    return store.adaptive_thresholds(past)
+
+
+@query("SELECT c_mktsegment AS client, count(*) AS configs, CAST(sum(c_nationkey) AS BIGINT) AS servers, count(DISTINCT c_nationkey) AS paths FROM customer GROUP BY ROLLUP (c_mktsegment)")
+def client_rollup(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("client"), F.col("c_nationkey").alias("path"), F.col("c_nationkey").alias("n_servers"))
+    return store.client_summary(rows)
+
+
+@query("""SELECT count(*) AS files, CAST(sum(t) AS BIGINT) AS tokens, round(avg(t), 6) AS mean_tokens, count(*) FILTER (WHERE r >= 70) AS high, count(*) FILTER (WHERE r >= 40 AND r < 70) AS medium, count(*) FILTER (WHERE r < 40) AS low
+FROM (SELECT length(text) // 4 AS t, doc_id * 37 % 100 AS r FROM documents)""")
+def batch_statistics(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(X.tokens_estimate(F.col("text")).alias("tokens"), (F.pmod(F.col("doc_id") * 37, F.lit(100)) / 100).alias("rank"))
+    return store.batch_stats(docs)
+
+
+@query("""SELECT role, coalesce(round(least(1.0, 0.35 * m + 0.35 * s + 0.3 * x), 6), 0) AS risk, CASE WHEN least(1.0, 0.35 * m + 0.35 * s + 0.3 * x) >= 0.8 THEN 'CRITICAL - Do not use' WHEN least(1.0, 0.35 * m + 0.35 * s + 0.3 * x) >= 0.6 THEN 'HIGH RISK - Review required'
+  WHEN least(1.0, 0.35 * m + 0.35 * s + 0.3 * x) >= 0.4 THEN 'MODERATE RISK - Use with caution' WHEN least(1.0, 0.35 * m + 0.35 * s + 0.3 * x) >= 0.2 THEN 'LOW RISK - Monitor usage' ELSE 'MINIMAL RISK - Safe to use' END AS verdict
+FROM (SELECT role, CAST(max(turn) AS DOUBLE) / 16 AS m, CAST(min(turn) AS DOUBLE) / 2 AS s, CAST(0.5 AS DOUBLE) AS x FROM conversations GROUP BY role)""")
+def combined_verdicts(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").groupBy("role").agg((F.max("turn") / 16).alias("m"), (F.min("turn") / 2).alias("s"))
+    risk = ranking.combined_risk(F.col("m"), F.col("s"), F.lit(0.5))
+    return rows.select("role", F.coalesce(F.round(risk, 6), F.lit(0.0)).alias("risk"), ranking.verdict(risk).alias("verdict"))
+
+
+@query()
+def answer_findings(spark, sf_dir):
+    """Answers of models in conversations, as JSON in one shape: how many turns hold any, by role."""
+    ship(spark)
+    turns = spread(table(spark, sf_dir, "conversations").select("role", "text")).select("role", answers.normalized(answers.json_in(F.col("text"))).alias("a"))
+    return turns.groupBy("role").agg(F.count(F.lit(1)).alias("turns"), F.count("a").alias("answers"), F.coalesce(F.sum(F.size("a.findings")), F.lit(0)).alias("findings"))

@@ -7,9 +7,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur.functions import answers
 from larkspur.functions import python as P
 from larkspur.functions import text as X
-from larkspur.operators import linewise, ranking, report, tools
+from larkspur.operators import linewise, policy, ranking, report, store, tools
 
 
 def one(spark, column):
@@ -141,3 +142,32 @@ def test_reports(spark):
     ends = spark.createDataFrame([("k", "t", f"l{i}", i) for i in range(6)], "key string, type string, location string, n int")
     assert report.chains(ends, ends, "key").count() == 10
     assert one(spark, report.system_level(F.lit(0), F.lit(6))) == "medium"
+
+
+def test_answers(spark):
+    cases = [
+        ('JSON_START {"a": 1} JSON_END x {"b": 2, "c": 3, "d": 4}', '{"a":1}'),
+        ('text ```json\n{"a": [1, 2,],}\n``` end', '{"a":[1,2]}'),
+        ("say {“a”: “x } y”} done", '{"a":"x } y"}'),
+        ('{"f": [{"a": 1}\n{"a": 2}]}', '{"f":[{"a":1},{"a":2}]}'),
+        ('JSON_START {"a": {"b": [1', '{"a":{"b":[1]}}'),
+        ("nothing", None),
+        (None, None),
+        ("", None),
+    ]
+    assert [answers.found(t) for t, _ in cases] == [w for _, w in cases]
+    rows = spark.createDataFrame([(1, 'x {"risk_score": "0.7", "findings": [{"severity": "odd", "line_numbers": [3], "confidence": 0}, null]}'), (2, None)], "id int, text string")
+    got = {r.id: r.a for r in rows.select("id", answers.normalized(answers.json_in(F.col("text"))).alias("a")).collect()}
+    assert got[2] is None and got[1].risk_score == 0.7 and got[1].summary == ""
+    (f,) = got[1].findings
+    assert (f.severity, f.attack_vector, f.line_numbers, f.confidence) == ("MEDIUM", "unknown", [3], 0.5)
+
+
+def test_history_and_templates(spark):
+    past = spark.createDataFrame([(4, 30), (2, 10)], "critical_count int, high_count int")
+    assert tuple(store.adaptive_thresholds(past).first()) == (4, 30, False) and tuple(store.adaptive_thresholds(past.limit(0)).first()) == (3, 10, False)
+    rows = spark.createDataFrame([(10, 0.9), (20, 0.5), (30, 0.1)], "tokens int, rank double")
+    assert tuple(store.batch_stats(rows).first()) == (3, 60, 20.0, 1, 1, 1)
+    configs = spark.createDataFrame([("a", "p", 2), ("a", "q", 1), ("b", "p", 1)], "client string, path string, n_servers int")
+    assert {tuple(r) for r in store.client_summary(configs).collect()} == {("a", 2, 3, 2), ("b", 1, 1, 1), (None, 3, 4, 2)}
+    assert policy.render("{{ a }} {{ b }} {{ c }}\n", {"a": "x", "b": ["y"]}, {"a": 1, "c": 2}) == '"x" ["y"] 2'
