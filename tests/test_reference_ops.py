@@ -137,6 +137,23 @@ def test_similar(spark):
     assert got == {("read a file", "read a file now"), ("read a file now", "read a file")}
 
 
+def test_similar_is_exact(spark, sf_dir, monkeypatch):
+    """All top rows of the 0.6 query as brute force has them, with one cell and with cells of a few rows."""
+    from larkspur.functions.python import indel_ratio
+    from larkspur.plans.catalogue import fuzzy_similar_parts
+
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_name").agg(F.min("p_type").alias("t")).collect()
+    want = set()
+    for a in parts:
+        near = [(-round(0.7 * indel_ratio(a.p_name, b.p_name) + 0.3 * indel_ratio(a.t, b.t), 6), b.p_name) for b in parts if b.p_name != a.p_name]
+        want |= {(a.p_name, other, -s, k) for k, (s, other) in enumerate(sorted(x for x in near if -x[0] >= 0.6)[:5], 1)}
+    for size in (None, 7):
+        if size:
+            monkeypatch.setattr(signatures, "CELL", size)
+        got = {(r.p_name, r.other, r.similarity, r.rank) for r in fuzzy_similar_parts(spark, sf_dir).collect()}
+        assert got == want and ("old bolt", "old plate") in {g[:2] for g in got}
+
+
 def test_signature_statuses(spark):
     rows = [("t", i, "a") for i in range(12)] + [("t", 12, "b"), ("u", 0, "a"), ("u", 1, "c")]
     got = signatures.statuses(spark.createDataFrame(rows, "tool_id string, ts long, signature string"), blacklist=spark.createDataFrame([("c",)], "signature string")).collect()
