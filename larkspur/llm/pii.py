@@ -20,6 +20,15 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?"
+#: The first four characters of an IBAN, not within a longer run; its group holds what may follow them. Spans may overlap.
+IBAN_HEAD = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(" + IBAN.removeprefix("[A-Z]{2}[0-9]{2}") + "))"
+#: Length: countries, as in the registry of ISO 13616.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
 #: kind: (tell-tale, pattern, score, for a checksum, context words)
 KINDS = {
     "email": (None, EMAIL, 0.8, 0.0, "mail|contact|write to|correo|courriel"),
@@ -90,15 +99,33 @@ def passes(kind: str, hit: Column) -> Column:
     return F.when(n.between(low, high), luhn(digits(hit))).otherwise(False)
 
 
+def accounts(text: Column) -> Column:
+    """array<struct<start, end, hit>> of the IBANs: at each head, the span of its country's length or else the longest span that
+    the pattern takes, whichever first holds mod-97 and ends where no letter or digit follows. An IBAN within another is none."""
+    heads, rests = matches(text, IBAN_HEAD), F.regexp_extract_all(text, F.lit(IBAN_HEAD), F.lit(1))
+    longest = F.zip_with(heads, rests, lambda m, rest: F.struct(m["start"].alias("start"), F.concat(m["hit"], rest).alias("hit")))
+    lengths = F.create_map(*[F.lit(x) for n, codes in IBAN_LENGTHS.items() for code in codes.split() for x in (code, n)])
+
+    def spans_at(m):
+        hit = m["hit"]
+        places = F.filter(F.sequence(F.lit(1), F.length(hit)), lambda i: F.substring(hit, i, F.lit(1)) != " ")
+        own = F.get(places, F.try_element_at(lengths, F.substring(hit, 1, 2)) - 1)
+        sizes = F.filter(F.array(own, F.length(hit)), lambda n: n.isNotNull())
+        spans = F.transform(sizes, lambda n: F.struct(m["start"].alias("start"), (m["start"] + n).alias("end"), F.substring(hit, F.lit(1), n).alias("hit")))
+        return F.slice(F.filter(spans, lambda x: ~F.substring(text, x["end"] + 1, F.lit(1)).rlike("[A-Za-z0-9]") & passes("iban", x["hit"])), 1, 1)
+
+    good = F.flatten(F.transform(longest, spans_at))
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    return F.aggregate(good, none, lambda acc, x: F.when(x["start"] >= F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)), F.concat(acc, F.array(x))).otherwise(acc))
+
+
 def find(text: Column, kind: str, least: float = 0.6) -> Column:
     """The kind's spans. Plain forms of the base patterns:
     email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+; ip [0-9]+(\\.[0-9]+){3}; card [0-9]([\\x20-]?[0-9])+ (here with
     single digits too, which no check passes); phone as it is."""
     tell, pattern, score, checked, words = KINDS[kind]
     seen = F.contains(text, F.lit("@")) if tell is None else F.rlike(text, F.lit(tell))
-    good = F.filter(matches(text, pattern), lambda m: passes(kind, m["hit"]))
-    if kind == "iban":  # not inside a longer run of letters and digits
-        good = F.filter(good, lambda m: ~F.concat(F.substring(text, m["start"], F.when(m["start"] > 0, 1).otherwise(0)), F.substring(text, m["end"] + 1, F.lit(1))).rlike("[A-Za-z0-9]"))
+    good = accounts(text) if kind == "iban" else F.filter(matches(text, pattern), lambda m: passes(kind, m["hit"]))
 
     def scored(m):
         before = F.greatest(F.lit(0), m["start"] - 40)

@@ -392,6 +392,19 @@ def test_pii_against_plain_patterns(spark, sf_dir):
     assert kinds == ["iban", "iban", "pan"] and sum(bool(r.base) for r in got.values()) > 8
 
 
+def test_ibans_before_words(spark):
+    """Compact and grouped, of each length from 15 to 32, with words, digits or another IBAN behind them."""
+    known = "NO9386011117947 BE68539007547034 NL91ABNA0417164300 AT611904300234573201 LT121000011101001000 LU280019400644750000 CH9300762011623852957 DE89370400440532013000 ES9121000418450200051332 SE4550000000058398257466 CZ6508000000192000145399 RO49AAAA1B31007593840000 FR1420041010050500013M02606 PL61109010140000071219812874 HU42117730161111101800000000 LC55HEMM000100010012001200023015".split()
+    grouped = [" ".join(x[i : i + 4] for i in range(0, len(x), 4)) for x in known]
+    rows = [(f"to {x}{after}", f"iban:3:{3 + len(x)}") for x in known + grouped for after in (" Please", " BIC X", " PLEASE PAY", " 2024", " 2 B", ", x", "")]
+    rows += [(f"{a} {b} Now", f"iban:0:{len(a)},iban:{len(a) + 1}:{len(a) + 1 + len(b)}") for some in (known, grouped) for a, b in zip(some, some[1:])]
+    rows += [(f"REF12AB34 {x} Now", f"iban:10:{10 + len(x)}") for x in grouped]
+    rows += [(x, "") for x in ("ES9121000418450200051333 Please", "xES9121000418450200051332 P", "ES9121000418450200051332P", "AT61 1904", "AT61")]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.found for r in pii.spans(docs).select("doc_id", pii.listing(F.filter("added", lambda s: s["kind"] == "iban")).alias("found")).collect()}
+    assert [(t, got[i]) for i, (t, want) in enumerate(rows) if got[i] != want] == []
+
+
 def test_redaction(spark, none):
     docs = spark.createDataFrame([(1, "a a@b.co, +49 30 1234567.", 25), (2, None, None), (3, "clean", 5), (4, "4111 1111 1111 1111", 19)], "doc_id long, text string, n_chars long")
     assert [tuple(r) for r in pii.redact(docs).orderBy("doc_id").collect()] == [(1, "a <EMAIL>, <PHONE>.", 19), (2, None, None), (3, "clean", 5), (4, "<CARD>", 6)]
