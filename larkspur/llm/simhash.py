@@ -41,14 +41,14 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp long) of every document."""
+    """(id, fp long, _h long) of every document; _h is a hash of the text."""
     ship(docs.sparkSession)
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({id_col: pdf[id_col], "fp": [fingerprint(t, width) for t in pdf[text_col]]})
+            yield pd.DataFrame({id_col: pdf[id_col], "fp": [fingerprint(t, width) for t in pdf[text_col]], "_h": pdf["_h"]})
 
-    return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, fp long")
+    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("_h")).mapInPandas(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, fp long, _h long")
 
 
 def masks(bits: int, budget: int) -> list[tuple[int, int]]:
@@ -201,30 +201,29 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2) -> DataFrame:
-    """(id, fingerprint hex, component_id): documents whose fingerprints are chained by at most `budget` differing bits."""
+def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2) -> DataFrame:
+    """(id, fp, _h, component_id, root) of every document; root is a fingerprint of the component that no other one has."""
     marked = cut(fingerprints(docs, id_col, text_col, width))
     distinct = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
     joined = cut(components(links(distinct.select("fp"), distinct.count(), budget)))
     classed = joined.join(distinct, joined.node == distinct.fp).select("fp", "root", "least")
     lowest = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = classed.join(lowest, "root").select("fp", F.col("component_id").alias("linked"))
-    ids = distinct.join(linked, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id"))
-    return marked.join(ids, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = classed.join(lowest, "root").select("fp", "root", F.col("component_id").alias("linked"))
+    ids = distinct.join(linked, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return marked.join(ids, "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2) -> DataFrame:
+    """(id, fingerprint hex, component_id): documents whose fingerprints are chained by at most `budget` differing bits."""
+    return members(docs, id_col, text_col, width, budget).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one document of each component: that of the smallest id. Among rows that share this id, one stays; rows
-    without an id stay only where their component has no id, one of them."""
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    lasting = kept.filter(F.col(id_col).isNotNull()).select(id_col).distinct()
-    whole = docs.filter(F.col(id_col).isNotNull()).join(lasting, id_col, "left_semi")
-    one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
-    whole = whole.withColumn("_one", F.row_number().over(one)).filter("_one = 1").drop("_one")
-    bare = kept.filter(F.col(id_col).isNull()).select("fingerprint").distinct()
-    if bare.isEmpty():
-        return whole.select(docs.columns)
-    loose = docs.filter(F.col(id_col).isNull()).withColumn("_fp", F.udf(lambda t: f"{fingerprint(t) & (1 << 64) - 1:016x}", "string")(text_col))
-    loose = loose.join(bare, loose._fp == bare.fingerprint, "left_semi").dropDuplicates(["_fp"]).drop("_fp")
-    return whole.select(docs.columns).unionByName(loose.select(docs.columns))
+    """`docs` with one document of each component: that of the smallest id, or one without an id where no document has any.
+    Of a component's rows that share this id, one stays; components that share it keep a row each."""
+    first = F.min(F.struct(F.col(id_col).isNull().alias("bare"), F.col(id_col).alias("_id"), F.col("_h").alias("_hash"))).alias("first")
+    kept = members(docs, id_col, text_col).groupBy("root").agg(first).select("first._id", "first._hash")
+    rows = docs.withColumn("_h", F.xxhash64(text_col))
+    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_semi")
+    one = Window.partitionBy(id_col, "_h").orderBy(text_col)
+    return rows.withColumn("_one", F.row_number().over(one)).filter("_one = 1").select(docs.columns)

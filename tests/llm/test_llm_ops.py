@@ -161,6 +161,14 @@ def test_simhash_odd_rows(odd, none):
     assert sorted(r.doc_id for r in simhash.keep_one(odd).collect()) == [1, 3, 5, 6]
 
 
+def test_keep_one_of_each_component(spark):
+    """Components that share their smallest id keep a row each; copies do not, with an id or without."""
+    a, b, c, d = "red cars drive along the old road", "seven ships sail over a calm sea", "nobody knows how this story ends", "bread is baked before the sun rises"
+    rows = [(1, a), (1, b), (1, b), (2, b), (None, a), (None, c), (None, c), (None, d), (3, "")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, a), (1, b), (None, c), (None, d), (3, "")], key=str)
+
+
 def test_quality_held_out(spark):
     docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     scored = quality.score(docs, quality.train(docs, labels), keep=["doc_id"])
