@@ -36,13 +36,13 @@ class Coder:
     """Ids of whole texts as little-endian 32-bit bytes: those that `tokenizers` gives for a byte-level BPE file.
 
     Plain texts go through a faster engine that is built from the same file's vocabulary, whose ids are the order of its
-    merges; that and a probe are checked first, and where they fail, or a text is odd, `tokenizers` itself encodes."""
+    merges; that and a probe are checked first, and where they fail, or a text is odd or holds an added token of the file, `tokenizers` itself encodes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.added = re.compile("(?!)")
         self.fast = self._fast(path)
 
     def _fast(self, path: str):
@@ -58,12 +58,13 @@ class Coder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         to_byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
         special = {t["content"] for t in file["added_tokens"]}
+        self.added = re.compile("|".join(map(re.escape, sorted(special))) or "(?!)")
         ranks = {bytes(to_byte[c] for c in token): i for token, i in vocab.items() if token not in special}
         fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         return fast if fast.encode_ordinary(PROBE) == self.model.encode(PROBE, add_special_tokens=False).ids else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = {i: t for i, t in enumerate(texts) if self.fast is None or ODD.search(t) or max(map(len, t.split()), default=0) > LONG}
+        odd = {i: t for i, t in enumerate(texts) if self.fast is None or ODD.search(t) or self.added.search(t) or max(map(len, t.split()), default=0) > LONG}
         slow = self.model.encode_batch_fast(list(odd.values()), add_special_tokens=False)
         out = {i: np.array(e.ids, dtype="<u4").tobytes() for i, e in zip(odd, slow, strict=True)}
         return [out[i] if i in odd else self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() for i, t in enumerate(texts)]

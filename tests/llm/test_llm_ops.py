@@ -367,6 +367,19 @@ def test_packing(spark, odd, none):
     assert order == sorted(order, reverse=True) and packing.pack(none, path).count() == 0
 
 
+def test_packing_added_tokens(spark):
+    """A text that holds an added token gets that token's id, as plain `encode` gives it."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    texts = ["one<|endoftext|>two", "<|endoftext|>", " <|endoftext|> <|endoftext", "plain words"]
+    rows = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, with_ids=True).orderBy("doc_id", "start").collect()
+    for i, text in enumerate(texts):
+        ids = [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1]
+        assert b"".join(r.ids for r in rows if r.doc_id == i) == np.array(ids, dtype="<u4").tobytes()
+    assert 50256 in np.frombuffer(b"".join(r.ids for r in rows if r.doc_id == 1), dtype="<u4")
+
+
 def brute_pii(text):
     import re
 
