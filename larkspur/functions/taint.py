@@ -3,7 +3,7 @@
 A value is a dict from a suffix ('' for itself, '.name', '[key]') to the labels it carries. Functions of the module are
 walked at each call, up to `DEPTH` callers deep; beyond that, or in recursion, a result carries what the arguments carry.
 Functions that nobody calls are walked by themselves; parameters of tools count as user input. Branches join; loops are
-walked twice. Flows through conditions alone and between files are not followed."""
+walked until no label reaches a path that it had not reached before. Flows through conditions alone and between files are not followed."""
 
 from __future__ import annotations
 
@@ -16,6 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DEPTH = 3
+#: Parts of a path that long loops keep apart; what lies deeper is held by the path above it.
+PARTS = 6
 # What reads user input or the environment, what makes a value safe for which sinks, and sinks by kind.
 SOURCES = {"user_input": r"input|raw_input|sys\.argv|request\.(GET|POST|FILES|META|body|args|form|files|json|data|values)\b.*|tool_input|sys\.stdin\.read\w*", "environment": r"os\.environ\b.*|os\.getenv", "network": r"requests\.get|urlopen|urllib\.request\.urlopen"}
 SAFE_FOR = {"shlex.quote": {"command_execution"}, "html.escape": {"template"}, "escape": {"template"}, "markupsafe.escape": {"template"}, "int": {"*"}, "float": {"*"}, "len": {"*"}, "bool": {"*"}}
@@ -53,6 +55,21 @@ def merged(*values: dict) -> dict:
     return {k: frozenset().union(*(v.get(k, frozenset()) for v in values)) for v0 in values for k in v0}
 
 
+def folded(env: dict) -> dict:
+    """env with paths of at most `PARTS` parts, and each label of a path once, by its fewest steps: finitely many states."""
+    out: dict = {}
+    for path, labels in env.items():
+        ends = [m.start() for m in re.finditer(r"[.\[]", path)]
+        at = out.setdefault(path[: ends[PARTS]] if len(ends) > PARTS else path, {})
+        for x in labels:
+            at[x[:3]] = min(at.get(x[:3], x), x, key=lambda y: (len(y.steps), y.steps))
+    return {path: frozenset(labels.values()) for path, labels in out.items()}
+
+
+def held(env: dict) -> set:
+    return {(path, x[:3]) for path, labels in env.items() for x in labels}
+
+
 class Module:
     def __init__(self, tree: ast.Module):
         self.functions = {n.name: n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))}
@@ -177,14 +194,10 @@ class Module:
             elif isinstance(s, ast.AugAssign):
                 self.put(env, s.target, merged(self.value(s.target, env, callers), self.value(s.value, env, callers)))
             elif isinstance(s, (ast.For, ast.AsyncFor)):
-                for _ in range(2):
-                    self.put(env, s.target, {"": whole(self.value(s.iter, env, callers))})
-                    out = merged(out, self.block(s.body, env, callers))
+                out = merged(out, self.loop(s, env, callers))
                 out = merged(out, self.block(s.orelse, env, callers))
             elif isinstance(s, ast.While):
-                for _ in range(2):
-                    self.value(s.test, env, callers)
-                    out = merged(out, self.block(s.body, env, callers))
+                out = merged(out, self.loop(s, env, callers))
             elif isinstance(s, ast.If):
                 self.value(s.test, env, callers)
                 out = merged(out, self.branches([s.body, s.orelse], env, callers))
@@ -207,6 +220,22 @@ class Module:
                         self.value(part, env, callers)
         return out
 
+    def loop(self, s: ast.For | ast.AsyncFor | ast.While, env: dict, callers: tuple) -> dict:
+        """Walk a loop's body twice, then on until a round brings no label to a path that no earlier round had there."""
+        out, seen, rounds = {}, held(folded(env)), 0
+        while True:
+            if isinstance(s, ast.While):
+                self.value(s.test, env, callers)
+            else:
+                self.put(env, s.target, {"": whole(self.value(s.iter, env, callers))})
+            out, rounds, short = merged(out, self.block(s.body, env, callers)), rounds + 1, folded(env)
+            if rounds > 1:
+                if held(short) <= seen:
+                    return out
+                env.clear()
+                env |= short
+            seen |= held(short)
+
     def branches(self, bodies: list[list[ast.stmt]], env: dict, callers: tuple) -> dict:
         envs = [dict(env) for _ in bodies]
         out = merged(*[self.block(b, e, callers) for b, e in zip(bodies, envs, strict=True)])

@@ -120,3 +120,14 @@ def test_as_column(spark):
     files = spark.createDataFrame([("a", FIELDS), ("b", None)], "path string, content string")
     got = files.select("path", F.explode(taint_flows(F.col("content"))).alias("f")).select("path", "f.*").collect()
     assert [(r.path, r.sink) for r in got] == [("a", "command_execution")]
+
+
+def test_loops_until_nothing_new():
+    """Taint that moves one variable a round, in both kinds of loop; paths that grow, swaps and branches of calls come to an end."""
+    for head in ("while go():", "for i in range(9):"):
+        for n in (3, 4, 12):
+            moves = "".join(f"    v{k} = v{k - 1}\n" for k in range(n, 0, -1))
+            got = flows_of(f"{head}\n{moves}    v0 = input()\nos.system(v{n})\n")
+            assert [(f["sink"], f["line"], f["source_line"]) for f in got] == [("command_execution", n + 3, n + 2)]
+    grown = "n = input()\nwhile go():\n    n.left = n\n    n.right = n\n    a, b = b, a\n" + "".join(f"    if c: n = f{k}(n)\n" for k in range(6)) + "os.system(n)\n"
+    assert {f["sink"] for f in flows_of(grown)} == {"command_execution"}
