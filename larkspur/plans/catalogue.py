@@ -130,6 +130,13 @@ def secret_line_candidates(spark, sf_dir):
     return lines.filter((F.length("s") <= 400) & F.col("s").rlike(_SECRET)).select("doc_id", (F.col("at") + 1).cast("long").alias("line"), F.regexp_extract("s", _SECRET, 1).alias("value"))
 
 
+@query(f"SELECT conv_id, turn, line, regexp_extract(s, '{_SECRET}', 1) AS value FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS s, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM conversations) WHERE length(s) <= 400 AND regexp_matches(s, '{_SECRET}')")
+def secret_turn_candidates(spark, sf_dir):
+    """As `secret_line_candidates`, of conversations."""
+    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("at", "s"))
+    return lines.filter((F.length("s") <= 400) & F.col("s").rlike(_SECRET)).select("conv_id", "turn", (F.col("at") + 1).cast("long").alias("line"), F.regexp_extract("s", _SECRET, 1).alias("value"))
+
+
 @query()
 def secret_findings(spark, sf_dir):
     return detect.secrets(table(spark, sf_dir, "documents"))
@@ -403,6 +410,16 @@ def sanitize_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(clean).alias("clean"), (F.length("html") - F.length(clean)).cast("long").alias("removed"))
 
 
+_CLEAN_TURN = _CLEAN.replace("html", "text")
+
+
+@query(f"SELECT conv_id, turn, md5({_CLEAN_TURN}) AS clean, length(text) - length({_CLEAN_TURN}) AS removed FROM conversations")
+def sanitize_turns(spark, sf_dir):
+    """As `sanitize_text`, of conversations."""
+    clean = X.sanitized(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(clean).alias("clean"), (F.length("text") - F.length(clean)).cast("long").alias("removed"))
+
+
 @query("SELECT o_custkey, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS finished, count(*) AS runs, round(100.0 * sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) / count(*), 4) AS rate FROM orders GROUP BY 1")
 def threat_rate_by_group(spark, sf_dir):
     done = F.count(F.when(F.col("o_orderstatus") == "F", 1))

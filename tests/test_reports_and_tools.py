@@ -171,3 +171,13 @@ def test_history_and_templates(spark):
     configs = spark.createDataFrame([("a", "p", 2), ("a", "q", 1), ("b", "p", 1)], "client string, path string, n_servers int")
     assert {tuple(r) for r in store.client_summary(configs).collect()} == {("a", 2, 3, 2), ("b", 1, 1, 1), (None, 3, 4, 2)}
     assert policy.render("{{ a }} {{ b }} {{ c }}\n", {"a": "x", "b": ["y"]}, {"a": 1, "c": 2}) == '"x" ["y"] 2'
+
+
+def test_conversations_are_read(spark, tmp_path):
+    """Secrets and markup in turns are found by the queries over conversations."""
+    from larkspur.plans import catalogue
+
+    rows = [(1, 0, "user", "hi\napi_key = abcd1234"), (1, 1, "assistant", "a<!-- x -->b"), (2, 0, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [tuple(r) for r in catalogue.QUERIES["secret_turn_candidates"](spark, str(tmp_path)).collect()] == [(1, 0, 2, "abcd1234")]
+    assert {(r.conv_id, r.turn): r.removed for r in catalogue.QUERIES["sanitize_turns"](spark, str(tmp_path)).collect()} == {(1, 0): 0, (1, 1): 10, (2, 0): None}
