@@ -56,9 +56,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """`df` as a Parquet table of its own in the shared folder, read back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def own_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str, **options: str) -> DataFrame:
+    """`df` written as a Parquet table and read back."""
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
 
