@@ -8,7 +8,8 @@ costs its rows, not its pairs; connected components then run over the forests.
 
 Cases: null or empty texts have fingerprint zero and link like any other. Equal fingerprints collapse before the join and
 are linked by definition, whatever their number. Null ids take part; a component's id is its smallest non-null id. An
-empty table gives an empty result. Whole texts count."""
+empty table gives an empty result. Whole texts count. Fingerprints that a thousandth of all rows share are fewer than HOT, so
+their rows find their component by a broadcast; the rest meet theirs by a shuffle that no fingerprint weighs down."""
 
 from __future__ import annotations
 
@@ -21,10 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.session import cut, ship
+from larkspur.session import cut, ship, unused
 
 BITS = 64
 SEED = 42
+HOT = 1024
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -204,13 +206,17 @@ def components(edges: DataFrame) -> DataFrame:
 def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2) -> DataFrame:
     """(id, fp, _h, component_id, root) of every document; root is a fingerprint of the component that no other one has."""
     marked = cut(fingerprints(docs, id_col, text_col, width))
-    distinct = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
-    joined = cut(components(links(distinct.select("fp"), distinct.count(), budget)))
+    distinct = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("rows")))
+    n, rows = distinct.agg(F.count(F.lit(1)), F.sum("rows")).first()
+    joined = cut(components(links(distinct.select("fp"), n, budget)))
     classed = joined.join(distinct, joined.node == distinct.fp).select("fp", "root", "least")
     lowest = classed.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = classed.join(lowest, "root").select("fp", "root", F.col("component_id").alias("linked"))
-    ids = distinct.join(linked, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    return marked.join(ids, "fp")
+    ids = cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"), (F.col("rows") * HOT > (rows or 0)).alias("hot")))
+    hot = ids.filter("hot").select("fp", F.struct("component_id", "root").alias("_at"))  # fewer than HOT rows
+    met = marked.join(F.broadcast(hot), "fp", "left")
+    direct = met.filter("_at IS NOT NULL").select(*marked.columns, "_at.component_id", "_at.root")
+    return direct.unionByName(met.filter("_at IS NULL").drop("_at").join(ids.drop("hot"), "fp"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2) -> DataFrame:
@@ -221,9 +227,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one document of each component: that of the smallest id, or one without an id where no document has any.
     Of a component's rows that share this id, one stays; components that share it keep a row each."""
-    first = F.min(F.struct(F.col(id_col).isNull().alias("bare"), F.col(id_col).alias("_id"), F.col("_h").alias("_hash"))).alias("first")
-    kept = members(docs, id_col, text_col).groupBy("root").agg(first).select("first._id", "first._hash")
-    rows = docs.withColumn("_h", F.xxhash64(text_col))
-    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_semi")
-    one = Window.partitionBy(id_col, "_h").orderBy(text_col)
-    return rows.withColumn("_one", F.row_number().over(one)).filter("_one = 1").select(docs.columns)
+    key, mark, at, one = unused(docs.columns, "key", "mark", "at", "one")
+    first = F.min(F.struct(F.col(id_col).isNull().alias("bare"), F.col(id_col).alias("id"), F.col("_h").alias("hash"))).alias("first")
+    kept = members(docs, id_col, text_col).groupBy("root").agg(first).select(F.col("first.id").alias(key), F.col("first.hash").alias(mark))
+    rows = docs.withColumn(at, F.xxhash64(text_col))
+    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(at) == F.col(mark)), "left_semi")
+    copies = Window.partitionBy(id_col, at).orderBy(text_col)
+    return rows.withColumn(one, F.row_number().over(copies)).filter(F.col(one) == 1).select(docs.columns)
