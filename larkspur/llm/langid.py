@@ -6,8 +6,8 @@ documents, as code-switched text does. Forward-backward gives each word's langua
 the one with the largest mean over its words.
 
 Training reads at most `docs_per_lang` documents of each language (documented bound), chosen by a hash of the id among those
-outside the held-out fold, and from each at most `segments` runs of `segment_words` words; only these reach the driver.
-Prediction is one pass over whole texts without a shuffle.
+outside the held-out fold, each whole, cut into runs of `segment_words` words; only these reach the driver. Prediction is one
+pass over whole texts without a shuffle.
 
 Cases: null text or text without a letter: `und`, score 0. Null languages do not train. Nothing to train on: `und`, score 0
 everywhere. Texts of any length are labelled whole, in one run of the recursions."""
@@ -155,7 +155,7 @@ class Crf:
         return lang, score
 
 
-def train(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", docs_per_lang=400, segments=4, segment_words=40, seed=5) -> Crf:
+def train(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", docs_per_lang=200, segment_words=40, seed=5) -> Crf:
     ship(docs.sparkSession)
     order = Window.partitionBy(lang_col).orderBy(F.pmod(F.xxhash64(id_col), F.lit(1 << 31)), id_col)
     usable = docs.filter(F.col(lang_col).isNotNull() & F.coalesce(fold(F.col(id_col), HELD_OUT) != 1, F.lit(False)))
@@ -170,10 +170,7 @@ def train(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang",
             out = []
             for key, y, text in zip(pdf["_id"], pdf["y"], pdf[text_col], strict=True):
                 words = words_of(text)
-                rng = np.random.default_rng(zlib.crc32(str(key).encode()))
-                for _ in range(segments if len(words) > segment_words else bool(words)):
-                    begin = int(rng.integers(0, max(1, len(words) - segment_words + 1)))
-                    out.append((key, y, words[begin : begin + segment_words]))
+                out += [(key, y, words[begin : begin + segment_words]) for begin in range(0, len(words), segment_words)]
             yield pd.DataFrame(out, columns=["id", "y", "words"])
 
     # docs_per_lang rows a language are broadcast
