@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import chat, langid, media, mixing, packing, pii, quality, sharding, simhash, topk
 from larkspur.llm.common import fold
-from larkspur.session import table
+from larkspur.session import own_path, table
 
 PROBE = "</s>[INST] ok [/INST]"
 
@@ -28,7 +28,7 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.store_audio(table(spark, sf_dir, "documents"), files=False)
+    return media.digests(media.store_audio(table(spark, sf_dir, "documents")))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = sharding.shard(table(spark, sf_dir, "documents"), 16)
+    rows, _ = sharding.shard(table(spark, sf_dir, "documents"), 16, path=own_path(spark, "slot-map"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
