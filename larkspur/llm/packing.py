@@ -4,8 +4,9 @@ A document's token ids are split into pieces whose lengths are powers of two: as
 binary digits of the rest. Each piece is a sequence of its own, numbered with others of equal length, so that batches of one
 length need no padding and no sequence crosses documents.
 
-Tokens: the ids that `tokenizers` gives for a byte-level BPE file. Only the pieces' digests are shuffled, for dense numbers within each length, salted into groups of about
-`group_rows` rows.
+Tokens: the ids that `tokenizers` gives for a byte-level BPE file. Only the pieces' digests are shuffled, for dense numbers
+within each length, salted into groups of about `group_rows` rows. Groups are counted and summed up in the cluster, in two
+levels of windows; the driver sees one row a length.
 
 Cases: null text is the empty text: the closing id alone, one piece. Repeated rows give pieces of their own. An empty table
 gives an empty result."""
@@ -36,7 +37,9 @@ class Coder:
     """Ids of whole texts as little-endian 32-bit bytes: those that `tokenizers` gives for a byte-level BPE file.
 
     Plain texts go through a faster engine that is built from the same file's vocabulary, whose ids are the order of its
-    merges; that and a probe are checked first, and where they fail, or a text is odd or holds an added token of the file, `tokenizers` itself encodes."""
+    merges. When a worker loads the file, that order, a probe and every plain token of the vocabulary, alone and after a space
+    and a letter, must get the same ids from both; where one does not, or a text is odd or holds an added token of the file,
+    `tokenizers` itself encodes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -61,7 +64,10 @@ class Coder:
         self.added = re.compile("|".join(map(re.escape, sorted(special))) or "(?!)")
         ranks = {bytes(to_byte[c] for c in token): i for token, i in vocab.items() if token not in special}
         fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return fast if fast.encode_ordinary(PROBE) == self.model.encode(PROBE, add_special_tokens=False).ids else None
+        plain = [t for t in (bytes(to_byte[c] for c in token).decode("utf-8", "replace") for token in vocab if token not in special) if not ODD.search(t)]
+        tried = [PROBE, *plain, *(f"{t} a{t}" for t in plain)]
+        same = all(fast.encode_ordinary(t) == e.ids for t, e in zip(tried, self.model.encode_batch_fast(tried, add_special_tokens=False), strict=True) if not self.added.search(t))
+        return fast if same else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = {i: t for i, t in enumerate(texts) if self.fast is None or ODD.search(t) or self.added.search(t) or max(map(len, t.split()), default=0) > LONG}
@@ -112,14 +118,17 @@ def pieces(docs: DataFrame, path: str, *, id_col="doc_id", text_col="text", larg
 def pack(docs: DataFrame, path: str, *, id_col="doc_id", text_col="text", largest: int = LARGEST, close: int = CLOSE, with_ids: bool = False, group_rows: int = 200_000) -> DataFrame:
     """Pieces with sequence_id (gapless from 0; equal lengths are neighbours, longest first) and offset (0: a piece is alone)."""
     made = cut(pieces(docs, path, id_col=id_col, text_col=text_col, largest=largest, close=close, with_ids=with_ids))
-    salts = max(64, -(-made.count() // group_rows))
+    totals = made.groupBy("length").count().collect()  # one row a power of two
+    salts = max(64, -(-sum(r["count"] for r in totals) // group_rows))
     made = made.withColumn("salt", F.pmod(F.xxhash64(F.col(id_col), F.col("start")), F.lit(salts)).cast("int"))
-    counts = made.groupBy("length", "salt").count().orderBy(F.desc("length"), "salt").collect()  # lengths times salts
-    at, bases = 0, []
-    for r in counts:
-        bases.append((r.length, r.salt, at))
-        at += r["count"]
-    base = made.sparkSession.createDataFrame(bases, "length long, salt int, base long")
+    at, first = 0, F.lit(0)
+    for r in sorted(totals, key=lambda r: -r.length):
+        first, at = F.when(F.col("length") == r.length, at).otherwise(first), at + r["count"]
+    sums = made.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.floor(F.col("salt") / 1024))
+    above = sums.groupBy("length", "block").agg(F.sum("n").alias("all"))
+    above = above.select("length", "block", (F.sum("all").over(Window.partitionBy("length").orderBy("block")) - F.col("all")).alias("above"))
+    inner = F.sum("n").over(Window.partitionBy("length", "block").orderBy("salt")) - F.col("n")
+    base = sums.withColumn("inner", inner).join(above, ["length", "block"]).select("length", "salt", (first.cast("long") + F.col("above") + F.col("inner")).alias("base"))
     place = F.row_number().over(Window.partitionBy("length", "salt").orderBy(id_col, "start", "ids_crc32"))
     out = made.withColumn("place", place).join(base, ["length", "salt"])
     return out.withColumn("sequence_id", F.col("base") + F.col("place") - 1).withColumn("offset", F.lit(0).cast("long")).drop("base", "place", "salt")
