@@ -5,7 +5,9 @@ Base kinds (email, ip, card, phone) keep every leftmost non-overlapping match th
 more for a checksum, more for a word of its context within 40 code points before or 20 after. Added kinds need `least`.
 
 Patterns are written so that the Java engine stays linear on long runs of one class: a match may start only where a run
-starts or the last match ended, and runs do not backtrack. Texts without a kind's tell-tale skip its work.
+starts or the last match ended, and runs do not backtrack. Texts without a kind's tell-tale skip its work. Lists of matches
+grow in blocks of BLOCK and texts are looked into by chunks of CHUNK code points, so a long text with a match in every line
+costs its length and not its square.
 
 Cases: null text is the empty text. Offsets are code points in the whole text, end exclusive. Empty table: empty result."""
 
@@ -14,6 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.session import unused
+
+BLOCK, CHUNK = 256, 4096
 #: The kinds' patterns. Each gives the same matches as its plain form in the docstring of `find`.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -42,18 +47,52 @@ BASE = ("email", "ip", "card", "phone")
 SPAN = "array<struct<kind:string,start:int,end:int,score:double,hit:string>>"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def listed(items: Column, state: Column, kind: str, step) -> Column:
+    """array<kind>: a fold in which step(state, item) gives (next state, array of results). Results are gathered block by
+    block, so that none is copied more often than there are blocks."""
+
+    def inner(acc, x):
+        state, made = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], made).alias("out"))
+
+    def outer(acc, block):
+        own = F.aggregate(block, F.struct(acc["state"].alias("state"), F.array().cast(f"array<{kind}>").alias("out")), inner)
+        return let(own, lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    begins = lambda all_: F.sequence(F.lit(0), F.greatest(F.size(all_) - 1, F.lit(0)), F.lit(BLOCK))
+    blocks = let(items, lambda all_: F.transform(begins(all_), lambda i: F.slice(all_, i + 1, F.lit(BLOCK))))
+    start = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.flatten(F.aggregate(blocks, start, outer, lambda acc: acc["out"]))
+
+
+def chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def part(pieces: Column, start: Column, n: Column) -> Column:
+    """n code points of the text from `start` (from 0), from its chunks; what lies beyond the end is left out."""
+    first = F.floor(start / CHUNK).cast("int")
+    own = F.array_join(F.slice(pieces, first + 1, F.floor((start % CHUNK + n) / CHUNK).cast("int") + 1), "")
+    return F.substring(own, (start % CHUNK + 1).cast("int"), n)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, hit>> of all matches, which may not be empty. The texts between matches give the offsets."""
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
 
-    def step(acc, x):
-        begin = acc["at"] + F.length(x["gap"])
+    def step(at, x):
+        begin = at + F.length(x["gap"])
         end = begin + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("out"))
+        return end, F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit")))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    # there is one gap more than hits; it meets no hit
+    pairs = F.filter(F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), lambda x: x["hit"].isNotNull())
+    return listed(pairs, F.lit(0), "struct<start:int,end:int,hit:string>", step)
 
 
 def digits(s: Column) -> Column:
@@ -99,7 +138,7 @@ def passes(kind: str, hit: Column) -> Column:
     return F.when(n.between(low, high), luhn(digits(hit))).otherwise(False)
 
 
-def accounts(text: Column) -> Column:
+def accounts(text: Column, pieces: Column) -> Column:
     """array<struct<start, end, hit>> of the IBANs: at each head, the span of its country's length or else the longest span that
     the pattern takes, whichever first holds mod-97 and ends where no letter or digit follows. An IBAN within another is none."""
     heads, rests = matches(text, IBAN_HEAD), F.regexp_extract_all(text, F.lit(IBAN_HEAD), F.lit(1))
@@ -112,11 +151,13 @@ def accounts(text: Column) -> Column:
         own = F.get(places, F.try_element_at(lengths, F.substring(hit, 1, 2)) - 1)
         sizes = F.filter(F.array(own, F.length(hit)), lambda n: n.isNotNull())
         spans = F.transform(sizes, lambda n: F.struct(m["start"].alias("start"), (m["start"] + n).alias("end"), F.substring(hit, F.lit(1), n).alias("hit")))
-        return F.slice(F.filter(spans, lambda x: ~F.substring(text, x["end"] + 1, F.lit(1)).rlike("[A-Za-z0-9]") & passes("iban", x["hit"])), 1, 1)
+        return F.slice(F.filter(spans, lambda x: ~part(pieces, x["end"], F.lit(1)).rlike("[A-Za-z0-9]") & passes("iban", x["hit"])), 1, 1)
+
+    def step(end, x):
+        apart = x["start"] >= end
+        return F.when(apart, x["end"]).otherwise(end), F.when(apart, F.array(x)).otherwise(F.array())
 
-    good = F.flatten(F.transform(longest, spans_at))
-    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-    return F.aggregate(good, none, lambda acc, x: F.when(x["start"] >= F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)), F.concat(acc, F.array(x))).otherwise(acc))
+    return listed(F.flatten(F.transform(longest, spans_at)), F.lit(0), "struct<start:int,end:int,hit:string>", step)
 
 
 def find(text: Column, kind: str, least: float = 0.6) -> Column:
@@ -125,17 +166,19 @@ def find(text: Column, kind: str, least: float = 0.6) -> Column:
     single digits too, which no check passes); phone as it is."""
     tell, pattern, score, checked, words = KINDS[kind]
     seen = F.contains(text, F.lit("@")) if tell is None else F.rlike(text, F.lit(tell))
-    good = accounts(text) if kind == "iban" else F.filter(matches(text, pattern), lambda m: passes(kind, m["hit"]))
 
-    def scored(m):
-        before = F.greatest(F.lit(0), m["start"] - 40)
-        near = F.lower(F.concat(F.substring(text, before + 1, m["start"] - before), F.lit(" "), F.substring(text, m["end"] + 1, F.lit(20))))
-        return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), (F.lit(score + checked) + F.when(near.rlike(words), 0.2).otherwise(0.0)).alias("score"), m["hit"].alias("hit"))
+    def spans(pieces):
+        good = accounts(text, pieces) if kind == "iban" else F.filter(matches(text, pattern), lambda m: passes(kind, m["hit"]))
 
-    spans = F.transform(good, scored)
-    if kind not in BASE:
-        spans = F.filter(spans, lambda s: s["score"] >= least)
-    return F.when(seen, spans).otherwise(F.array()).cast(SPAN)
+        def scored(m):
+            before = F.greatest(F.lit(0), m["start"] - 40)
+            near = F.lower(F.concat(part(pieces, before, m["start"] - before), F.lit(" "), part(pieces, m["end"], F.lit(20))))
+            return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), (F.lit(score + checked) + F.when(near.rlike(words), 0.2).otherwise(0.0)).alias("score"), m["hit"].alias("hit"))
+
+        found = F.transform(good, scored)
+        return found if kind in BASE else F.filter(found, lambda s: s["score"] >= least)
+
+    return F.when(seen, let(chunks(text), spans)).otherwise(F.array()).cast(SPAN)
 
 
 def spans(docs: DataFrame, text_col: str = "text", least: float = 0.6, keep: list[str] | None = None, own: tuple[str, str] = ("base", "added")) -> DataFrame:
@@ -156,29 +199,27 @@ def count_of(found: Column, kind: str) -> Column:
 def redact(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars", least: float = 0.6) -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; of spans that overlap, the first (then longest) names the
     replacement, which covers them all. A null text stays null, a text without spans as it is."""
-    found = spans(docs, text_col, least, own=("_base", "_added"))
-    ordered = F.array_sort(F.transform(F.concat("_base", "_added"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), s["kind"].alias("kind"))))
+    base, added, ordered, new = unused(docs.columns, "base", "added", "ordered", "new")
+    found = spans(docs, text_col, least, own=(base, added))
+    by_start = F.array_sort(F.transform(F.concat(base, added), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), s["kind"].alias("kind"))))
     text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc, s):
-        end, fresh = -s["neg"], s["start"] >= acc["at"]
-        piece = F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-        return F.struct(F.greatest(acc["at"], end).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+    def written(pieces):
+        def step(at, s):
+            kept = F.array(part(pieces, at, s["start"] - at), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+            return F.greatest(at, -s["neg"]), F.when(s["start"] >= at, kept).otherwise(F.array())
 
-    def finish(acc):
-        return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+        last = F.array_max(F.transform(ordered, lambda s: -s["neg"]))
+        return F.concat(F.array_join(listed(F.col(ordered), F.lit(0), "string", step), ""), part(pieces, last, F.greatest(F.lit(0), F.length(text) - last)))
 
-    new = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, finish)).otherwise(text)
-    out = found.withColumn("_spans", ordered).withColumn("_new", new)
+    marked = F.size(ordered) > 0
+    out = found.withColumn(ordered, by_start).withColumn(new, F.when(marked, let(chunks(text), written)).otherwise(text))
     columns = []
     for c in docs.columns:
         if c == text_col:
-            columns.append(F.col("_new").alias(c))
+            columns.append(F.col(new).alias(c))
         elif c == count_col:
-            columns.append(F.when(F.size("_spans") > 0, F.length("_new")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
+            columns.append(F.when(marked, F.length(new)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
         else:
             columns.append(F.col(c))
     return out.select(*columns)
-
-
