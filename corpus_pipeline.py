@@ -5,19 +5,18 @@ Parquet and read again as the next one's docs. All but the last return the colum
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import mixing, packing, pii, quality, simhash
 from larkspur.llm.queries import tokenizer_path
-from larkspur.session import cut, table
+from larkspur.session import own_path, remove, stored, table, unused
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pairwise ranker predicts to be good."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, own=("_score", "_kept")).filter("_kept = 1").select(docs.columns)
+    score, kept = unused(docs.columns, "score", "kept")
+    return quality.score(docs, model, own=(score, kept)).filter(f"`{kept}` = 1").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,17 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = _written(spark, docs)
-    return docs
-
-
-def _written(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    cut(spark.range(1))  # sets the shared folder where it is unset
-    path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
-    docs.write.parquet(path)
-    return spark.read.parquet(path)
+    """All stages over documents, each one's result written to the shared folder and read again. A stage's table goes once the
+    next one's is written."""
+    docs, paths = table(spark, sf_dir, "documents"), []
+    for name, stage in STAGES[:-1]:
+        paths.append(own_path(spark, "stage-" + name.replace(" ", "-")))
+        docs = stored(stage(spark, docs, sf_dir), paths[-1])
+        if len(paths) > 1:
+            remove(spark, paths[-2])
+    return STAGES[-1][1](spark, docs, sf_dir)
