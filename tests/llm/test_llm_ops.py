@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from larkspur.llm import chat, langid, media, mixing, packing, pii, quality, queries, sharding, simhash, topk
-from larkspur.session import table
+from larkspur.session import own_path, stored, table, unused
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score string, d int"
 ODD = [
@@ -92,15 +92,60 @@ def test_adpcm_matches_a_plain_decoder():
         assert row.tolist() == want
 
 
-def test_media_digests(odd, none):
-    rows = media.store_audio(odd).collect()
-    assert len(rows) == len(ODD) and media.store_audio(none).count() == 0
+def plain_wide(codec, payload):
+    """16 kHz samples by plain Python: one byte or nibble at a time, then the floor of each two neighbours' mean between them."""
+    if codec == "adpcm":
+        x = []
+        for at in range(0, len(payload), 64):
+            head, index = 0, 0
+            x.append(head)
+            for byte in payload[at : at + 64]:
+                for code in (byte & 15, byte >> 4):
+                    step = int(media.STEPS[index])
+                    delta = (step >> 3) + step * (code >> 2 & 1) + (step >> 1) * (code >> 1 & 1) + (step >> 2) * (code & 1)
+                    head = max(-32768, min(32767, head - delta if code & 8 else head + delta))
+                    index = max(0, min(88, index + int(media.CHANGES[code & 7])))
+                    x.append(head)
+    else:
+        x = [int(media.TABLES[codec][b]) for b in payload]
+    return x, [v for a, b in zip(x, x[1:] + x[-1:], strict=True) for v in (a, (a + b) // 2)]
+
+
+def test_media_digests(spark, odd, none, tmp_path):
+    stored = media.store_audio(odd, path=str(tmp_path / "media"))
+    files = {r.media: r for r in stored.collect()}
+    assert spark.read.parquet(str(tmp_path / "media")).count() == len(ODD)
+    rows = media.digests(stored).collect()
+    assert len(rows) == len(ODD) and media.digests(media.store_audio(none)).count() == 0
+    raw = Counter((t or "").encode() for _, t, *_ in ODD)
+    by_digest = {hashlib.sha256(m).hexdigest(): r for m, r in files.items()}
+    seen = Counter()
     for r in rows:
-        text = next((t for i, t, *_ in ODD if i == r.doc_id), "") or ""
-        raw = text.encode()
-        p = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
-        assert r.media_sha256 == hashlib.sha256(r.media).hexdigest() and r.media_bytes == len(r.media) and len(r.pcm) % 4 == 0
+        own = by_digest[r.media_sha256]
+        kind, data = media.unwrap(own.media)
+        p = media.payload_of(kind, data)
+        text = p[: r.n_bytes]
+        seen[text] += 1
+        assert p == text + bytes(-len(text) % 64 or (0 if text else 64)) and r.media_bytes == len(own.media)
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        x, wide = plain_wide(kind, p)
+        raw_wide = np.array(wide, dtype="<i2").tobytes()
+        assert media.unpack_pcm(own.pcm) == raw_wide
+        turns = sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:], strict=False))
+        assert r.feature == f"{kind}:{len(x)}:{max(map(abs, x))}:{sum(map(abs, x)) // len(x)}:{turns}:{zlib.crc32(raw_wide):08x}"
+    assert seen == raw
+
+
+def test_media_clashing_columns(odd):
+    clash = odd.selectExpr("*", "doc_id AS media", "doc_id AS pcm", "doc_id AS codec")
+    assert media.digests(media.store_audio(clash)).count() == len(ODD)
+
+
+def test_pcm_packs_without_loss():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 257):
+        pcm = rng.integers(-32768, 32768, n).astype("<i2").tobytes()
+        assert media.unpack_pcm(media.pack_pcm(pcm)) == pcm
 
 
 def brute_simhash(text):
@@ -196,8 +241,60 @@ def test_quality_clashing_columns(odd):
 
 
 def test_clashing_columns_stay(spark, odd):
-    clash = odd.selectExpr("*", "doc_id AS base", "doc_id AS key", "doc_id AS runs", "doc_id AS _kept", "doc_id AS fp")
-    assert pii.redact(clash).columns == simhash.keep_one(clash).columns == mixing.Mix(clash).texts(clash).columns == clash.columns
+    """Whatever the operators call their own columns, a user's column of that name comes out as it went in."""
+    names = "base added ordered new key mark at one _fp _h fp size turns _size _key _twin _runs runs n _kept _score kept".split()
+    clash = odd.selectExpr("*", *[f"'{n}' AS {n}" for n in names])
+    labels = spark.createDataFrame([(1, 0), (3, 1), (6, 0), (4, 1)], "doc_id long, quality int")
+    for out in (pii.redact(clash), simhash.keep_one(clash), mixing.Mix(clash).texts(clash), corpus_stage(spark, clash, labels)):
+        assert out.columns == clash.columns
+        assert {tuple(r) for r in out.select(*names).collect()} <= {tuple(names)}
+
+
+def corpus_stage(spark, docs, labels):
+    score, kept = unused(docs.columns, "score", "kept")
+    return quality.score(docs, quality.train(docs, labels), own=(score, kept)).select(docs.columns)
+
+
+def test_mix_gives_repeated_rows_their_own_shares(spark):
+    """Rows alike in id, text and source, with nulls among them: each is taken at most twice, and the words come out whole."""
+    rows = [(i, f"w{i} " * 40, "a") for i in range(5)] + [(9, "x " * 100, "b")] * 7 + [(None, "y " * 30, None)] * 4 + [(8, "", "b")] * 2
+    docs = spark.createDataFrame([(i, t, s, len(t)) for i, t, s in rows], "doc_id long, text string, source string, n_chars long")
+    mix = mixing.Mix(docs, block_words=16)
+    want = Counter()
+    for r in mix.taken().collect():
+        want[r.doc_id] += r.taken
+    got = Counter()
+    for r in mix.texts(docs).collect():
+        got[r.doc_id] += len(r.text.split())
+    assert +got == +want
+
+
+def plain_mix(rows):
+    """Sizes and targets by plain Python."""
+    size = [len((t or "").encode().split()) for _, t, _ in rows]
+    names = sorted({s for *_, s in rows if s is not None}) + [None] * any(s is None for *_, s in rows)
+    have = {s: sum(n for n, r in zip(size, rows, strict=True) if r[2] == s) for s in names}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    total, aim, left = 1.5 * sum(have.values()), {}, set(names)
+    while left:
+        unit = total / sum(weight[s] for s in left)
+        full = {s for s in left if unit * weight[s] > 2 * have[s]}
+        if not full:
+            aim |= {s: unit * weight[s] for s in left}
+            break
+        aim |= {s: 2.0 * have[s] for s in full}
+        total -= sum(aim[s] for s in full)
+        left -= full
+    return size, have, aim
+
+
+@pytest.mark.parametrize("name", ["documents", "odd"])
+def test_mix_against_plain_python(spark, odd, name):
+    docs = odd if name == "odd" else table(spark, "/root/testdata/sf0.001", name)
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    size, have, aim = plain_mix(rows)
+    got = mixing.Mix(docs).taken().collect()
+    assert Counter((r.doc_id, r["size"], r.source_size, round(r.target, 6)) for r in got) == Counter((r[0], n, have[r[2]], round(aim[r[2]], 6)) for r, n in zip(rows, size, strict=True))
 
 
 def test_water_filling():
@@ -335,7 +432,37 @@ def test_shards_are_even_and_gapless(spark, odd, none):
     slot_map.grow(16, load)
     moved = before != slot_map.current
     assert moved.any() and (slot_map.current[moved] == 16).all()
-    assert sharding.shard(none, 16)[0].count() == 0 and sharding.shard(odd, 3)[0].count() == len(ODD)
+    grown = sharding.shard(docs, slot_map=slot_map)[0].collect()
+    was = {r.doc_id: r.shard for r in rows}
+    assert {r.shard for r in grown if r.shard != was[r.doc_id]} == {16}
+    slots = {}
+    for r in grown:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert sharding.shard(none, 16)[0].count() == 0
+
+
+@pytest.mark.parametrize("name", ["documents", "odd"])
+def test_shard_columns_by_plain_python(spark, odd, name):
+    docs = odd if name == "odd" else table(spark, "/root/testdata/sf0.001", name)
+    want = Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect())
+    rows = sharding.shard(docs, 3)[0].collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == want
+    for s in range(3):
+        own = sorted(r.slot for r in rows if r.shard == s)
+        assert own == list(range(len(own)))
+
+
+def test_shards_stay_even_where_an_id_is_hot(spark):
+    """A third of all rows without an id, and one row many times."""
+    rows = spark.range(6000).selectExpr("CASE WHEN id % 3 > 0 THEN id END AS doc_id", "repeat('t', cast(id % 50 AS int)) || id AS text")
+    rows = rows.unionByName(spark.range(300).selectExpr("7L AS doc_id", "'same' AS text"))
+    got = sharding.shard(rows, 4)[0].collect()
+    sums = Counter()
+    for r in got:
+        sums[r.shard] += r["size"]
+    assert len(got) == 6300 and max(sums.values()) - min(sums.values()) < 0.02 * max(sums.values())
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(4))
 
 
 def test_slot_map_is_stored_by_version(spark, tmp_path):
@@ -344,6 +471,20 @@ def test_slot_map_is_stored_by_version(spark, tmp_path):
     m.save(spark, str(tmp_path / "map"))
     back = sharding.SlotMap.load(spark, str(tmp_path / "map"))
     assert len(back.versions) == 2 and all((a == b).all() for a, b in zip(m.versions, back.versions, strict=True))
+    back.grow(4, np.arange(64))
+    before = {p.name for p in (tmp_path / "map").glob("*.parquet")}
+    back.save(spark, str(tmp_path / "map"))
+    after = {p.name for p in (tmp_path / "map").glob("*.parquet")}
+    assert before < after and len(sharding.SlotMap.load(spark, str(tmp_path / "map")).versions) == 3
+    back.save(spark, str(tmp_path / "map"))
+    assert {p.name for p in (tmp_path / "map").glob("*.parquet")} == after
+
+
+def starts(n):
+    at = 0
+    for length in packing.lengths(n):
+        yield at, length
+        at += length
 
 
 def test_packing(spark, odd, none):
@@ -351,17 +492,17 @@ def test_packing(spark, odd, none):
 
     path = queries.tokenizer_path()
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-    docs = odd.filter("doc_id is not null and doc_id <> 4").unionByName(table(spark, "/root/testdata/sf0.001", "documents").select((F.col("doc_id") + 1000).alias("doc_id"), "text"), allowMissingColumns=True)
+    docs = odd.unionByName(table(spark, "/root/testdata/sf0.001", "documents").select((F.col("doc_id") + 1000).alias("doc_id"), "text"), allowMissingColumns=True)
     rows = packing.pack(docs, path, with_ids=True, group_rows=100).collect()
-    by_doc = {}
+    by_doc, want = {}, {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
         assert r.length & (r.length - 1) == 0 and r.length <= 2048 and r.offset == 0 and r.ids_crc32 == zlib.crc32(r.ids)
     for d in docs.collect():
-        ids = [*model.encode(d.text or "", add_special_tokens=False).ids, 1]
-        own = sorted(by_doc[d.doc_id], key=lambda r: r.start)
-        assert b"".join(r.ids for r in own) == np.array(ids, dtype="<u4").tobytes() and {r.doc_tokens for r in own} == {len(ids)}
+        want.setdefault(d.doc_id, []).append(np.array([*model.encode(d.text or "", add_special_tokens=False).ids, 1], dtype="<u4").tobytes())
+    for key, texts in want.items():
+        own = sorted(by_doc[key], key=lambda r: r.start)  # rows that repeat: each piece as often as there are rows
+        assert Counter((r.start, r.ids, r.doc_tokens) for r in own) == Counter((at, ids[4 * at : 4 * (at + n)], len(ids) // 4) for ids in texts for at, n in starts(len(ids) // 4))
     assert sorted(r.sequence_id for r in rows) == list(range(len(rows)))
     order = [r.length for r in sorted(rows, key=lambda r: r.sequence_id)]
     assert order == sorted(order, reverse=True) and packing.pack(none, path).count() == 0
@@ -438,25 +579,57 @@ def test_mod97_and_luhn(spark):
 
 
 def test_queries_have_the_contract_columns(spark, sf_dir):
-    want = {"op1_topk": "query_id rank vec_id score", "op3_simhash": "doc_id fingerprint component_id", "op5_mixing": "doc_id size source_size target taken", "op8_sharding": "doc_id size text_crc32 law shard slot grown_shard"}
+    want = {
+        "op1_topk": "query_id rank vec_id score", "op2_media": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature", "op3_simhash": "doc_id fingerprint component_id",
+        "op4_quality": "doc_id held_out score predicted", "op5_mixing": "doc_id size source_size target taken", "op6_langid": "doc_id held_out lang_pred score", "op7_chat": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
+        "op8_sharding": "doc_id size text_crc32 law shard slot grown_shard", "op9_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op10_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+    }
     for name, columns in want.items():
         assert set(columns.split()) <= set(queries.queries()[name](spark, sf_dir).columns)
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_agrees(spark, sf_dir, name):
+    import duckdb
+
+    db = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    want, got = db.sql(queries.oracle_sql()[name]).df(), queries.queries()[name](spark, sf_dir).toPandas()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns) and Counter(map(tuple, got[columns].astype(str).values)) == Counter(map(tuple, want[columns].astype(str).values))
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(1, 0, 0), (3, 1, 0), (6, 0, 1), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", odd), ("none", none)):
+        folder = str(tmp_path / name)
+        docs.select("doc_id", "text", "lang", "source", "n_chars", "d", F.lit("x").alias("kept")).write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        rows = corpus_pipeline.run(spark, folder).collect()
+        assert sorted(r.sequence_id for r in rows) == list(range(len(rows))) and (rows or name == "none")
+
+
+def written(spark, df):
+    return stored(df, own_path(spark, "test"))
+
+
 def test_pipeline_against_brute_force(spark, sf_dir):
     import corpus_pipeline
 
     docs = table(spark, sf_dir, "documents")
-    kept = corpus_pipeline._written(spark, corpus_pipeline.keep_quality(spark, docs, sf_dir))
+    kept = written(spark, corpus_pipeline.keep_quality(spark, docs, sf_dir))
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     good = {r.doc_id for r in docs.collect() if model.score(quality.features(r.text)[None].astype(float))[0] >= 0.3}
     assert {r.doc_id for r in kept.collect()} == good
-    one = corpus_pipeline._written(spark, corpus_pipeline.drop_near_duplicates(spark, kept, sf_dir))
+    one = written(spark, corpus_pipeline.drop_near_duplicates(spark, kept, sf_dir))
     classes = brute_components({r.doc_id: brute_simhash(r.text) for r in kept.collect()})
     assert sorted(r.doc_id for r in one.collect()) == sorted(set(classes.values())) and one.columns == docs.columns
-    clean = corpus_pipeline._written(spark, corpus_pipeline.redact_personal_data(spark, one, sf_dir))
+    clean = written(spark, corpus_pipeline.redact_personal_data(spark, one, sf_dir))
     assert clean.count() == one.count() and not any(brute_pii(r.text) for r in clean.collect())
-    mixed = corpus_pipeline._written(spark, corpus_pipeline.mix_sources(spark, clean, sf_dir))
+    mixed = written(spark, corpus_pipeline.mix_sources(spark, clean, sf_dir))
     assert mixed.columns == docs.columns and max(Counter(r.doc_id for r in mixed.collect()).values()) <= 2
     packed = corpus_pipeline.pack_sequences(spark, mixed, sf_dir)
     tokens = packing.pieces(mixed, queries.tokenizer_path()).agg(F.sum("length")).first()[0]
