@@ -6,9 +6,10 @@ vectors, sorted by that distance, form annuli of at most `block_rows` rows. Bloc
 the triangle inequality cannot rule out, nearest first, and stop when no later annulus can hold a better vector.
 
 Scale: pivots and first bounds come from a sample of at most `sample_rows` vectors (documented bound; it only sets how
-much is pruned, never what is found). Every row is indexed. Nothing but the sample and three statistics reaches the
+much is pruned, never what is found). Every row is indexed. Nothing but the sample and four statistics reaches the
 driver; a task holds one block of queries, one annulus and k results a query. An annulus is cut by rows, so a cell that
-holds a third of all rows, or one vector repeated, is many blocks.
+holds a third of all rows, or one vector repeated, is many blocks; these are dealt over stripes of about `stripe_rows` rows.
+Vectors are quantized and written once, and travel as the narrowest integers that hold them.
 
 Cases: vectors that are null or hold null, NaN or infinite components take no part, nor do null ids. An id that repeats
 counts once, with its smallest vector. Shorter vectors count as padded with zeros; an empty one is all zeros. Ties go to
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from larkspur.session import cut, ship
 
 STRIPES = 8
+#: (largest component, SQL type, numpy type)
+KINDS = [(2**15 - 1, "smallint", "<i2"), (2**31 - 1, "int", "<i4"), (2**63 - 1, "bigint", "<i8")]
 LOW = np.iinfo(np.int64).min
 SCHEMA = "query_id long, rank int, vec_id long, score long"
 
@@ -32,12 +35,7 @@ def quantize(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
     """(id long, v array<long>): floor(scale * x) of every usable vector."""
     x = F.col(vec_col)
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return (
-        vectors.filter(x.isNotNull() & finite & F.col(id_col).isNotNull())
-        .select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * float(scale))).alias("v"))
-        .groupBy("id")
-        .agg(F.min("v").alias("v"))
-    )
+    return vectors.filter(x.isNotNull() & finite & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * float(scale))).alias("v"))
 
 
 def matrix(vs, dim: int) -> np.ndarray:
@@ -61,14 +59,14 @@ def choose_pivots(sample: np.ndarray, lifted: np.ndarray, n: int) -> np.ndarray:
 
 def product(a: np.ndarray, b: np.ndarray, small: bool) -> np.ndarray:
     """a @ b.T, exactly. small: every sum fits in a double's 53 bits."""
-    return np.rint(a.astype(float) @ b.astype(float).T).astype(np.int64) if small else a @ b.T
+    return np.rint(a.astype(float) @ b.astype(float).T).astype(np.int64) if small else a.astype(np.int64) @ b.astype(np.int64).T
 
 
 class Geometry:
     """What tasks need to know of the space; a few hundred rows, made on the driver from the sample."""
 
-    def __init__(self, sample_ids, sample, top_norm: int, dim: int, pivots: int, small: bool):
-        self.norm, self.dim, self.small = float(top_norm), dim, small
+    def __init__(self, sample_ids, sample, top_norm: float, dim: int, pivots: int, small: bool, kind: str):
+        self.norm, self.dim, self.small, self.kind = float(top_norm), dim, small, kind
         self.sample_ids, self.sample = sample_ids, sample
         lifted = np.sqrt(np.maximum(self.norm - (sample.astype(float) ** 2).sum(1), 0))
         picks = choose_pivots(sample, lifted, pivots)
@@ -90,6 +88,9 @@ class Geometry:
         own = (q.astype(float) ** 2).sum(1)
         return np.where(score == LOW, np.inf, np.sqrt(np.maximum(own + self.norm - 2 * score.astype(float), 0)))
 
+    def vectors(self, raw: bytes) -> np.ndarray:
+        return np.frombuffer(raw, self.kind).reshape(-1, self.dim)
+
     @property
     def slack(self) -> float:
         return 1e-6 * (1 + np.sqrt(self.norm))
@@ -104,7 +105,7 @@ def assigner(geometry):
             x = matrix(pdf.v, g.dim)
             d = g.from_vectors(x)
             cell = d.argmin(1)
-            yield pd.DataFrame({"cell": cell.astype(np.int32), "r": d[np.arange(len(x)), cell], "id": pdf.id, "vec": [row.tobytes() for row in x]})
+            yield pd.DataFrame({"cell": cell.astype(np.int32), "r": d[np.arange(len(x)), cell], "id": pdf.id, "vec": [row.tobytes() for row in x.astype(g.kind)]})
 
     return assign
 
@@ -144,7 +145,7 @@ def query_blocks(geometry, block_rows: int, k: int):
     """Blocks of queries with, for each cell, the range of distances to its pivot and the range within which a result can lie."""
 
     def one(part, g):
-        ids, x = part.id.to_numpy(np.int64), np.frombuffer(b"".join(part.vec), np.int64).reshape(len(part), g.dim)
+        ids, x = part.id.to_numpy(np.int64), g.vectors(b"".join(part.vec))
         s = product(x, g.sample, g.small)
         s[ids[:, None] == g.sample_ids[None, :]] = LOW
         first = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] >= k else np.full(len(x), LOW)
@@ -209,7 +210,7 @@ def searcher(geometry, k: int):
                     if best is not None:
                         yield best.rows()
                     ids = np.frombuffer(r.ids, np.int64)
-                    q = np.frombuffer(r.vecs, np.int64).reshape(len(ids), g.dim)
+                    q = g.vectors(r.vecs)
                     best, key, d = Best(ids, np.frombuffer(r.first, np.int64), k), (r.qb, r.stripe), g.from_queries(q)
                     continue
                 assert key == (r.qb, r.stripe)
@@ -220,30 +221,36 @@ def searcher(geometry, k: int):
                 rows = np.nonzero(np.maximum(r.r_lo - own, own - r.r_hi) <= reach)[0]
                 if len(rows):
                     ids = np.frombuffer(r.ids, np.int64)
-                    best.add(rows, ids, product(q[rows], np.frombuffer(r.vecs, np.int64).reshape(len(ids), g.dim), g.small))
+                    best.add(rows, ids, product(q[rows], g.vectors(r.vecs), g.small))
         if best is not None:
             yield best.rows()
 
     return search
 
 
-def top_k(vectors: DataFrame, queries, k: int = 20, *, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64, pivots: int = 64, sample_rows: int = 4096, block_rows: int = 1024, query_rows: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, queries, k: int = 20, *, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64, pivots: int = 64, sample_rows: int = 4096, block_rows: int = 1024, query_rows: int = 1024, stripe_rows: int = 1 << 20) -> DataFrame:
     """The k best rows of `vectors` for each row that the condition `queries` (on the column `id`) selects, itself excluded."""
     spark = vectors.sparkSession
     ship(spark)
-    space = quantize(vectors, id_col, vec_col, scale)
-    stats = space.agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), F.max(F.array_max(F.transform("v", F.abs)))).first()
-    if stats[0] is None:
+    usable = quantize(vectors, id_col, vec_col, scale)
+    # the largest norm and component over all usable rows; of rows that share an id too, as a larger sphere does no harm
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    n, size, top_norm, top = usable.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(norm), F.max(F.array_max(F.transform("v", F.abs)))).first()
+    if not n:
         return spark.createDataFrame([], SCHEMA)
-    dim, top = max(1, stats[0]), stats[2] or 0
+    dim, top, stripes_n = max(1, size), top or 0, max(STRIPES, -(-n // stripe_rows))
+    sql, kind = next((sql, kind) for most, sql, kind in KINDS if top <= most)
+    space = cut(usable.select("id", F.col("v").cast(f"array<{sql}>").alias("v")).groupBy("id").agg(F.min("v").alias("v")))
     sample = space.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas()
-    geometry = spark.sparkContext.broadcast(Geometry(sample.id.to_numpy(np.int64), matrix(sample.v, dim), stats[1], dim, pivots, dim * float(top) ** 2 < 2**52))
-    keyed = space.mapInPandas(assigner(geometry), "cell int, r double, id long, vec binary")
-    index = keyed.repartitionByRange("cell", "r", "id").sortWithinPartitions("cell", "r", "id").mapInPandas(annuli(geometry, block_rows), "cell int, r_lo double, r_hi double, block long, ids binary, vecs binary")
-    index = index.withColumn("stripe", F.pmod(F.xxhash64("block"), F.lit(STRIPES)).cast("int"))
-    asked = keyed.filter(queries).repartitionByRange("cell", "r", "id").sortWithinPartitions("cell", "r", "id")
-    asked = cut(asked.mapInPandas(query_blocks(geometry, query_rows, k), "qb long, ids binary, vecs binary, first binary, d_lo array<double>, d_hi array<double>, lo array<double>, hi array<double>"))
-    stripes = F.explode(F.array(*[F.lit(i) for i in range(STRIPES)])).alias("stripe")
+    geometry = spark.sparkContext.broadcast(Geometry(sample.id.to_numpy(np.int64), matrix(sample.v, dim), top_norm, dim, pivots, dim * float(top) ** 2 < 2**52, kind))
+
+    def keyed(rows):
+        return rows.mapInPandas(assigner(geometry), "cell int, r double, id long, vec binary").repartitionByRange("cell", "r", "id").sortWithinPartitions("cell", "r", "id")
+
+    index = keyed(space).mapInPandas(annuli(geometry, block_rows), "cell int, r_lo double, r_hi double, block long, ids binary, vecs binary")
+    index = index.withColumn("stripe", F.pmod(F.xxhash64("block"), F.lit(stripes_n)).cast("int"))
+    asked = cut(keyed(space.filter(queries)).mapInPandas(query_blocks(geometry, query_rows, k), "qb long, ids binary, vecs binary, first binary, d_lo array<double>, d_hi array<double>, lo array<double>, hi array<double>"))
+    stripes = F.explode(F.sequence(F.lit(0), F.lit(stripes_n - 1))).alias("stripe")
     bounds = asked.select("qb", F.posexplode(F.arrays_zip("d_lo", "d_hi", "lo", "hi")).alias("cell", "b")).select("qb", "cell", "b.*", stripes)
     near = (
         index.join(bounds, ["cell", "stripe"])
