@@ -4,9 +4,8 @@ A payload of bytes is stored as a WAV file of 8-bit mu-law or A-law samples, or
 64 bytes each. Mu-law and A-law expand by lookup tables; ADPCM blocks decode together, one numpy step for each nibble
 position of all blocks. The decoded 8 kHz signal is resampled to 16 kHz PCM.
 
-Both are columns of a stored table, compressed by zstd. PCM is kept without loss as its even samples and what linear
-prediction from them leaves of the odd ones, which for a doubled rate is next to nothing. Digests and features come from the
-bytes as the table gives them back.
+Files are a column of a stored table, compressed by zstd. What the table gives back is decoded, and the PCM samples are a
+column beside the digests and features, to be stored with them.
 
 Cases: null text is the empty text; the payload is padded with zero bytes to a positive multiple of 64. Equal texts give
 equal values (the codec follows from the payload). Texts are whole; a batch is cut into runs of at most RUN bytes for
@@ -145,28 +144,8 @@ def describe(codec: str, pcm: np.ndarray, wide: bytes) -> str:
     return f"{codec}:{len(x)}:{int(np.abs(x).max())}:{int(np.abs(x).sum()) // len(x)}:{int((sign[1:] != sign[:-1]).sum())}:{zlib.crc32(wide):08x}"
 
 
-def pack_pcm(pcm: bytes) -> bytes:
-    """16-bit samples as their even ones, then the odd ones less the mean of their neighbours (rounded down)."""
-    x = np.frombuffer(pcm, "<i2")
-    even, odd = x[::2], x[1::2]
-    return even.tobytes() + (odd - predicted(even)[: len(odd)]).astype("<i2").tobytes()
-
-
-def unpack_pcm(packed: bytes) -> bytes:
-    x = np.frombuffer(packed, "<i2")
-    even, left = x[: (len(x) + 1) // 2], x[(len(x) + 1) // 2 :]
-    out = np.empty(len(x), dtype="<i2")
-    out[::2], out[1::2] = even, left + predicted(even)[: len(left)]
-    return out.tobytes()
-
-
-def predicted(even: np.ndarray) -> np.ndarray:
-    wide = even.astype(np.int32)
-    return ((wide + np.append(wide[1:], wide[-1:])) >> 1).astype(np.int16)
-
-
-STORED = "n_bytes long, codec string, media binary, pcm binary"
-COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string"
+STORED = "n_bytes long, codec string, media binary"
+COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, pcm binary"
 
 
 def in_runs(pdf: pd.DataFrame, sizes, most: int):
@@ -180,8 +159,7 @@ def in_runs(pdf: pd.DataFrame, sizes, most: int):
 
 
 def store_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", codec: str = "auto", path: str | None = None) -> DataFrame:
-    """The stored table, read back: id, n_bytes (unpadded), codec, media (a WAV file), pcm (16 kHz samples, `unpack_pcm`).
-    codec: mulaw, alaw, adpcm, or auto (by the payload's crc32). path: where it is stored, by default in the shared folder."""
+    """The stored table, read back: id, n_bytes (unpadded), codec, media (a WAV file). codec: mulaw, alaw, adpcm, or auto (by the payload's crc32). path: where it is stored, by default in the shared folder."""
     spark = docs.sparkSession
     ship(spark)
 
@@ -192,8 +170,7 @@ def store_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             p = b + bytes(-len(b) % UNIT or (0 if b else UNIT))
             names.append(codec if codec != "auto" else ("mulaw", "alaw", "adpcm")[zlib.crc32(p) % 3])
             files.append(wrap(p, names[-1]))
-        wide = [pack_pcm(resample(x).tobytes()) for x in decode_many(files)]
-        return pd.DataFrame({id_col: part[id_col], "n_bytes": [len(b) for b in raw], "codec": names, "media": files, "pcm": wide})
+        return pd.DataFrame({id_col: part[id_col], "n_bytes": [len(b) for b in raw], "codec": names, "media": files})
 
     def store(batches):
         for pdf in batches:
@@ -201,25 +178,25 @@ def store_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kind = docs.schema[id_col].dataType.simpleString()
     made = docs.select(id_col, text_col).mapInPandas(store, f"`{id_col}` {kind}, {STORED}")
-    return stored(made, path or own_path(spark, "media"), compression="zstd", **{"parquet.compression.codec.zstd.level": "9", "parquet.block.size": str(32 << 20)})
+    return stored(made, path or own_path(spark, "media"), compression="zstd")
 
 
-def digests(table: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row a row of a stored table: digests of its payload and file, and a feature of its samples: codec, their number,
-    peak, mean size, changes of sign, and the checksum of the 16 kHz PCM."""
+def expand(table: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row a row of a stored table: digests of its payload and file, the samples at 16 kHz (pcm: 16 bits, little-endian), and
+    a feature: codec, number of samples, peak, mean size, changes of sign, and the checksum of pcm."""
     ship(table.sparkSession)
     names = [c.split()[0] for c in COLUMNS.split(", ")]
 
     def rows(part):
         out = []
-        for key, n, m, pcm, packed in zip(part[id_col], part["n_bytes"], part["media"], decode_many(list(part["media"])), part["pcm"], strict=True):
+        for key, n, m, x in zip(part[id_col], part["n_bytes"], part["media"], decode_many(list(part["media"])), strict=True):
             kind, data = unwrap(m)
-            p = payload_of(kind, data)
-            out.append((key, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), describe(kind, pcm, unpack_pcm(packed)), kind))
+            p, wide = payload_of(kind, data), resample(x).tobytes()
+            out.append((key, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), describe(kind, x, wide), kind, wide))
         return pd.DataFrame(out, columns=[id_col, *names])
 
     def read(batches):
         for pdf in batches:
             yield from map(rows, in_runs(pdf, pdf["media"].str.len(), RUN))
 
-    return table.select(id_col, "n_bytes", "media", "pcm").mapInPandas(read, f"`{id_col}` {table.schema[id_col].dataType.simpleString()}, {COLUMNS}")
+    return table.select(id_col, "n_bytes", "media").mapInPandas(read, f"`{id_col}` {table.schema[id_col].dataType.simpleString()}, {COLUMNS}")

@@ -28,7 +28,7 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digests(media.store_audio(table(spark, sf_dir, "documents")))
+    return media.expand(media.store_audio(table(spark, sf_dir, "documents")))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
