@@ -6,6 +6,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+BLOCK = 256
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def listed(items: Column, state: Column, kind: str, step) -> Column:
+    """array<kind>: a fold in which step(state, item) gives (next state, array of results). Results are gathered block by
+    block, so that none is copied more often than there are blocks."""
+
+    def inner(acc, x):
+        state, made = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], made).alias("out"))
+
+    def outer(acc, block):
+        own = F.aggregate(block, F.struct(acc["state"].alias("state"), F.array().cast(f"array<{kind}>").alias("out")), inner)
+        return let(own, lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    begins = lambda all_: F.sequence(F.lit(0), F.greatest(F.size(all_) - 1, F.lit(0)), F.lit(BLOCK))
+    blocks = let(items, lambda all_: F.transform(begins(all_), lambda i: F.slice(all_, i + 1, F.lit(BLOCK))))
+    start = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.flatten(F.aggregate(blocks, start, outer, lambda acc: acc["out"]))
+
+
 def all_matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -20,18 +46,17 @@ def match_offsets(text: Column, pattern: str) -> Column:
 
 def placed(hits: Column, gaps: Column) -> Column:
     """array<struct<offset, line, hit>> of matches, from them and the texts around them."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast("array<struct<offset:int,line:int,hit:string>>").alias("out"))
 
     def newlines(s: Column) -> Column:
         return F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
 
-    def step(acc, x):
-        at, line = acc["at"] + F.length(x["gap"]), acc["line"] + newlines(x["gap"])
+    def step(state, x):
+        at, line = state["at"] + F.length(x["gap"]), state["line"] + newlines(x["gap"])
         own = F.array(F.struct(at.alias("offset"), line.alias("line"), x["hit"].alias("hit")))
-        return F.struct((at + F.length(x["hit"])).alias("at"), (line + newlines(x["hit"])).alias("line"), F.concat(acc["out"], own).alias("out"))
+        return F.struct((at + F.length(x["hit"])).alias("at"), (line + newlines(x["hit"])).alias("line")), own
 
     pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return listed(pairs, F.struct(F.lit(0).alias("at"), F.lit(1).alias("line")), "struct<offset:int,line:int,hit:string>", step)
 
 
 def snippet(text: Column, line: Column, around: int = 3) -> Column:
@@ -42,12 +67,20 @@ def snippet(text: Column, line: Column, around: int = 3) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters in bits; 0 for the empty text. Each distinct character is counted by taking it
-    out of the text, a byte search each, so no character becomes a row or an array element of its own count."""
+    """Shannon entropy of the characters in bits; 0 for the empty text. Where characters are few, each is counted by taking it
+    out of the text, a byte search each; where they are many, in runs of the sorted characters."""
     n = F.length(text)
-    distinct = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
-    counts = F.transform(distinct, lambda c: (n - F.length(F.replace(text, c, F.lit("")))).cast("double"))
-    total = F.aggregate(counts, F.lit(0.0), lambda a, k: a + k * F.log2(k))
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+
+    def runs(all_):
+        ends = F.filter(F.sequence(F.lit(1), F.size(all_)), lambda i: (i == F.size(all_)) | ~F.get(all_, i).eqNullSafe(F.get(all_, i - 1)))
+        return let(ends, lambda e: F.zip_with(e, F.concat(F.array(F.lit(0)), F.slice(e, F.lit(1), F.size(e) - 1)), lambda a, b: (a - b).cast("double")))
+
+    def counted(distinct):
+        few = F.transform(distinct, lambda c: (n - F.length(F.replace(text, c, F.lit("")))).cast("double"))
+        return F.when(F.size(distinct) <= 256, few).otherwise(let(F.array_sort(chars), runs))
+
+    total = F.aggregate(let(F.array_distinct(chars), counted), F.lit(0.0), lambda a, k: a + k * F.log2(k))
     return F.when(n > 0, F.log2(n.cast("double")) - total / n).otherwise(0.0)
 
 
@@ -151,7 +184,7 @@ def without_advice(text: Column, patterns: list[str] = INSTALLS) -> Column:
 
 
 # Names that no one hides behind.
-PLAIN_NAMES = "formatted format result results response request data value values content contents output input message error errors schema config options params parameters args kwargs callback handler buffer stream reader writer parser parsed indent index count counter length size offset limit timeout headers status metadata context state cache temp temporary file files path paths directory folder json_string json_data validated validator expected_type".split()
+PLAIN_NAMES = ["formatted", "format", "result", "results", "response", "request", "data", "value", "values", "content", "contents", "output", "input", "message", "error", "errors", "schema", "config", "options", "params", "parameters", "args", "kwargs", "callback", "handler", "buffer", "stream", "reader", "writer", "parser", "parsed", "indent", "index", "count", "counter", "length", "size", "offset", "limit", "timeout", "headers", "status", "metadata", "context", "state", "cache", "temp", "temporary", "file", "files", "path", "paths", "directory", "folder", "json_string", "json_data", "validated", "validator", "expected_type"]
 
 
 def suspicious_names(code: Column) -> Column:

@@ -46,18 +46,43 @@ def drift(events: DataFrame, key: str, size: str, order=("ts",), buffer: int = 1
     return out.filter((F.col("n_before") >= least) & far)
 
 
-def sequence_confidence(tools: Column, wanted: list[str]) -> Column:
-    """Null unless all wanted tools occur; else 1 minus the spread of their first places over the sequence's length."""
-    at = [F.array_position(tools, F.lit(w)) for w in wanted]
-    spread = F.greatest(*at) - F.least(*at) if len(at) > 1 else F.lit(0)
-    confidence = F.when(F.size(tools) > 1, 1 - spread / (F.size(tools) - 1)).otherwise(1.0)
-    return F.when(F.least(*at) > 0 if len(at) > 1 else at[0] > 0, confidence)
-
-
 def behaviors(events: DataFrame, patterns: dict[str, list[str]], session="session_id", order="ts", tie="event_id", tool="tool") -> DataFrame:
-    seq = events.groupBy(session).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, tie, tool))), lambda e: e[tool]).alias("tools"))
-    each = F.array(*[F.struct(F.lit(k).alias("pattern"), sequence_confidence(F.col("tools"), v).alias("confidence")) for k, v in patterns.items()])
-    return seq.select(session, F.explode(each).alias("p")).select(session, "p.*").filter("confidence IS NOT NULL")
+    """(session, pattern, confidence) where all tools of a pattern occur: 1 minus the spread of their first places over the
+    session's length. Places are numbered in a window and their least taken, so no session is gathered."""
+    at = F.row_number().over(Window.partitionBy(session).orderBy(order, tie))
+    wanted = sorted({t for ts in patterns.values() for t in ts})
+    first = events.withColumn("_at", at).groupBy(session).agg(F.max("_at").alias("_n"), *[F.min(F.when(F.col(tool) == t, F.col("_at"))).alias(f"_{i}") for i, t in enumerate(wanted)])
+
+    def confidence(tools: list[str]) -> Column:
+        places = [F.col(f"_{wanted.index(t)}") for t in tools]
+        spread = F.greatest(*places) - F.least(*places) if len(places) > 1 else F.lit(0)
+        there = F.forall(F.array(*places), lambda p: p.isNotNull())
+        return F.when(there, F.when(F.col("_n") > 1, 1 - spread / (F.col("_n") - 1)).otherwise(1.0))
+
+    each = F.array(*[F.struct(F.lit(k).alias("pattern"), confidence(v).alias("confidence")) for k, v in patterns.items()])
+    return first.select(session, F.explode(each).alias("p")).select(session, "p.*").filter("confidence IS NOT NULL")
+
+
+# Pairs of tools by the risk of the second following the first, and what they are called.
+PAIR_RISK = {("read_credentials", "http_post"): "critical", ("get_env", "send_data"): "critical", ("read_ssh_key", "upload"): "critical", ("read_file", "http_post"): "high", ("list_files", "delete"): "high", ("download", "exec"): "high"}
+PAIR_SAYS = {
+    ("read_credentials", "http_post"): "Credential exfiltration detected",
+    ("get_env", "send_data"): "Environment variable leakage",
+    ("read_ssh_key", "upload"): "SSH key theft attempt",
+    ("read_file", "http_post"): "Potential data exfiltration",
+    ("download", "exec"): "Remote code execution pattern",
+    ("list_files", "delete"): "Destructive enumeration",
+}
+
+
+def pair_risk(source: Column, sink: Column, risks: dict = PAIR_RISK, says: dict = PAIR_SAYS) -> Column:
+    """struct<risk, description> of a tool that follows another; medium where the pair is not known."""
+    risk, told = F.lit("medium"), F.concat(F.lit("Suspicious flow from "), source, F.lit(" to "), sink)
+    for (a, b), level in risks.items():
+        risk = F.when((source == a) & (sink == b), level).otherwise(risk)
+    for (a, b), text in says.items():
+        told = F.when((source == a) & (sink == b), text).otherwise(told)
+    return F.struct(risk.alias("risk"), told.alias("description"))
 
 
 def taint(edges: DataFrame, sources: DataFrame, most_hops: int | None = None) -> DataFrame:
@@ -88,3 +113,31 @@ def taint_in_code(files: DataFrame, path="path", code="content") -> DataFrame:
     assigned = facts.filter("kind = 'assign'").select("scope", F.substring_index("name", "=", 1).alias("var"), F.regexp_replace("name", "^[^=]*=", "").alias("value"))
     edges = facts.filter("kind = 'flow'").select("scope", F.substring_index("name", "->", 1).alias("src"), F.substring_index("name", "->", -1).alias("dst"))
     return taint(edges, assigned.filter(F.col("value").rlike(SOURCE_CALLS)))
+
+
+# Kinds of sinks with what reaching them is, how grave, and its weaknesses; others are unknown.
+SINK_KINDS = {"exec": ("command_injection", "CRITICAL", ["CWE-77", "CWE-78"]), "command": ("command_injection", "CRITICAL", ["CWE-77", "CWE-78"]), "subprocess": ("command_injection", "CRITICAL", ["CWE-77", "CWE-78"]), "network": ("data_exfiltration", "HIGH", ["CWE-918", "CWE-200"]), "file_write": ("path_traversal", "HIGH", ["CWE-22", "CWE-73"]), "database": ("sql_injection", "HIGH", ["CWE-89"])}
+#: The names of `functions.taint` for the same kinds.
+SINK_NAMES = {"command_execution": "command", "eval_execution": "exec", "sql_query": "database", "network_out": "network"}
+
+
+def taint_findings(flows: DataFrame, sink: str = "sink", risk: str = "confidence", least: float = 0.7) -> DataFrame:
+    """Tainted flows of risk `least` or more as findings: vector, severity (a write at 0.9 is critical; an unknown sink is medium,
+    high from 0.85) and weaknesses."""
+    kind, r = F.lower(F.col(sink)), F.col(risk)
+    for name, plain in SINK_NAMES.items():
+        kind = F.when(F.lower(F.col(sink)) == name, plain).otherwise(kind)
+    out = F.struct(F.lit("unknown").alias("vector"), F.when(r < 0.85, "MEDIUM").otherwise("HIGH").alias("severity"), F.array(F.lit("CWE-20")).alias("weaknesses"))
+    for name, (vector, severity, weak) in SINK_KINDS.items():
+        grave = F.when(r >= 0.9, "CRITICAL").otherwise(severity) if name == "file_write" else F.lit(severity)
+        out = F.when(kind == name, F.struct(F.lit(vector).alias("vector"), grave.alias("severity"), F.array(*map(F.lit, weak)).alias("weaknesses"))).otherwise(out)
+    return flows.filter(r >= least).withColumn("_f", out).select(*flows.columns, "_f.*")
+
+
+def code_graphs(files: DataFrame, path: str = "path", code: str = "content") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(frameworks, calls, imports) of Python files: (path, framework), (path, caller, callee), (path, target). One parse each."""
+    from larkspur.functions.python import code_graph
+
+    ship(files.sparkSession)
+    g = files.select(F.col(path).alias("path"), code_graph(F.col(code)).alias("g"))
+    return g.select("path", "g.framework"), g.select("path", F.explode("g.calls").alias("c")).select("path", "c.*"), g.select("path", F.explode("g.imports").alias("target"))

@@ -3,7 +3,8 @@
 Text: the first line names the action (BLOCK, MODIFY, LOG or ALLOW); each further line is a condition, joined by AND, or by
 OR where the line says so; after `THEN:` lines `SET path = value`. Operators: == != IN, NOT IN, CONTAINS, NOT CONTAINS,
 MATCHES (anchored at the start), NOT MATCHES, STARTS_WITH, ENDS_WITH, > and <, and the tests CONTAINS_SECRET, CONTAINS_PII,
-CONTAINS_SHELL_CHARS, PATH_TRAVERSAL on a field. `NOT` before a condition negates it. A policy with an error never matches."""
+CONTAINS_SHELL_CHARS, PATH_TRAVERSAL on a field. A dotted path by itself
+holds where the field is true. `NOT` before a condition negates it. A policy with an error never matches."""
 
 from __future__ import annotations
 
@@ -40,7 +41,7 @@ def value_of(text: str):
 
 def parse(text: str) -> Policy:
     lines = [s.strip() for s in text.splitlines() if s.strip() and not s.strip().startswith("#")]
-    action, condition, changes, errors = (lines[0].rstrip(":").upper() if lines else ""), [], {}, []
+    action, condition, changes, errors = (re.sub(r"\s*(?:\b(?:IF|WHEN))?\s*:?$", "", lines[0].upper()) if lines else ""), [], {}, []
     if action not in ACTIONS:
         errors.append(f"unknown action {action!r}")
     setting = False
@@ -61,6 +62,8 @@ def parse(text: str) -> Policy:
                 condition.append((link, negated, m[1], m[2], None))
             elif m := re.fullmatch(rf"(\S+)\s*({'|'.join(map(re.escape, OPERATORS))})\s*(.+)", body):
                 condition.append((link, negated, m[1], m[2], value_of(m[3])))
+            elif re.fullmatch(r"\w+(\.\w+)+", body):
+                condition.append((link, negated, body, "IS", True))
             else:
                 errors.append(f"not a condition: {line}")
     return Policy(action, condition, changes, errors)
@@ -70,6 +73,8 @@ def compare(field: Column, op: str, value) -> Column:
     """A missing field equals nothing, and reads as 'None' where its text is asked for."""
     text = F.coalesce(field.cast("string"), F.lit("None"))
     many = [str(v) for v in (value if isinstance(value, list) else [value])]
+    if op == "IS":
+        return F.coalesce(F.lower(field.cast("string")) == "true", F.lit(False))
     if op == "==":
         return field.cast("string").eqNullSafe(F.lit(None if value is None else str(value)))
     if op == "!=":
@@ -162,3 +167,56 @@ def render(template: str, values: dict, defaults: dict | None = None) -> str:
     for name, value in {**(defaults or {}), **values}.items():
         out = out.replace(f"{{{{ {name} }}}}", told(value))
     return out.strip()
+
+
+# Built-in templates (name, category, severity, text, defaults).
+TEMPLATES = [
+    ("secrets", "data_protection", "critical", "BLOCK IF:\n    response CONTAINS_SECRET\n    AND tool.name NOT IN {{ WHITELIST }}", {"WHITELIST": []}),
+    ("pii", "data_protection", "high", "{{ ACTION }} IF:\n    response CONTAINS_PII\n    AND NOT tool.sanitize_enabled\n    AND server.name NOT IN {{ TRUSTED_SERVERS }}", {"ACTION": "LOG", "TRUSTED_SERVERS": []}),
+    ("command_injection", "injection", "critical", "BLOCK IF:\n    params CONTAINS_SHELL_CHARS\n    AND tool.name IN {{ DANGEROUS_TOOLS }}", {"DANGEROUS_TOOLS": ["exec", "system", "popen", "eval", "shell"]}),
+    ("path_traversal", "injection", "high", 'BLOCK IF:\n    params PATH_TRAVERSAL\n    OR params.path CONTAINS "../"\n    OR params.file CONTAINS "../"', {}),
+    ("network_exfiltration", "exfiltration", "high", "{{ ACTION }} IF:\n    tool.name IN {{ NETWORK_TOOLS }}\n    AND params.url NOT MATCHES {{ ALLOWED_DOMAINS }}", {"ACTION": "BLOCK", "NETWORK_TOOLS": ["http_post", "http_put", "send_data", "upload"], "ALLOWED_DOMAINS": r"^https://(.*\.)?example\.com/.*$"}),
+    ("filesystem_access", "access_control", "medium", '{{ ACTION }} IF:\n    tool.name IN ["read_file", "write_file", "delete_file"]\n    AND params.path STARTS_WITH {{ RESTRICTED_PATHS }}', {"ACTION": "BLOCK", "RESTRICTED_PATHS": ["/etc/", "/sys/", "/proc/", "~/.ssh/", "~/.aws/"]}),
+    ("env_access", "access_control", "high", 'BLOCK IF:\n    tool.name == "read_env"\n    AND params.name IN {{ SENSITIVE_VARS }}', {"SENSITIVE_VARS": ["AWS_SECRET_ACCESS_KEY", "GITHUB_TOKEN", "OPENAI_API_KEY", "DATABASE_PASSWORD"]}),
+    ("disable_tool", "access_control", "varies", "BLOCK IF:\n    tool.name IN {{ DISABLED_TOOLS }}", {"DISABLED_TOOLS": []}),
+    ("rate_limit", "rate_limiting", "low", "BLOCK IF:\n    tool.name == {{ TOOL_NAME }}\n    AND session.tool_count[{{ TOOL_NAME }}] > {{ MAX_CALLS }}", {"TOOL_NAME": "", "MAX_CALLS": 10}),
+    ("sanitize_output", "data_protection", "medium", 'MODIFY IF:\n    tool.name == {{ TOOL_NAME }}\n    AND response CONTAINS_PII\nTHEN:\n    SET response = "[REDACTED]"', {"TOOL_NAME": ""}),
+    ("env_file_protection", "data_protection", "critical", 'BLOCK IF:\n    tool.name IN {{ FILE_TOOLS }}\n    AND params.path CONTAINS ".env"', {"FILE_TOOLS": ["read_file", "cat", "head", "tail", "less", "more", "grep"]}),
+    ("env_command_protection", "data_protection", "high", "BLOCK IF:\n    tool.name IN {{ ENV_COMMANDS }}", {"ENV_COMMANDS": ["env", "printenv", "set"]}),
+    ("bash_env_protection", "data_protection", "high", 'BLOCK IF:\n    tool.name == "bash"\n    AND params.command CONTAINS "env"', {}),
+    ("env_var_redaction", "data_protection", "high", 'MODIFY IF:\n    response CONTAINS_SECRET\n    OR response CONTAINS {{ SENSITIVE_PATTERNS }}\nTHEN:\n    SET response = "[REDACTED - SENSITIVE ENVIRONMENT DATA]"', {"SENSITIVE_PATTERNS": ["API_KEY=", "SECRET=", "PASSWORD=", "TOKEN="]}),
+]
+
+
+def from_template(name: str, **values) -> str:
+    """The text of a built-in template with its places filled; an action is a bare word."""
+    text, defaults = next((t, d) for n, _, _, t, d in TEMPLATES if n == name)
+    given = {**defaults, **values}
+    return render(text.replace("{{ ACTION }}", str(given.pop("ACTION", ""))), given)
+
+
+def load(config: dict) -> list[tuple[str, int, str, str]]:
+    """Policies (id, priority, scope, text) of a configuration of four levels: global, client, client:server,
+    client:server:tool. An entry has `id` or `name`, `policy` or `content` (its text) or `template` with `variables`, and a
+    `priority`; one that is not enabled is left out."""
+
+    def own(entries: list[dict], scope: str) -> list[tuple[str, int, str, str]]:
+        out = []
+        for i, e in enumerate(entries or []):
+            if e.get("enabled", True):
+                text = from_template(e["template"], **e.get("variables", {})) if "template" in e else e.get("policy", e.get("content", ""))
+                out.append((e.get("id") or e.get("name") or f"{scope}#{i}", int(e.get("priority", 0)), scope, text))
+        return out
+
+    def below(node: dict, levels: tuple, scope: str) -> list[tuple[str, int, str, str]]:
+        out = own(node.get("policies"), scope)
+        for name, child in (node.get(levels[0]) or {}).items() if levels else ():
+            out += below(child, levels[1:], f"{scope}:{name}" if scope else name)
+        return out
+
+    return own((config.get("global") or {}).get("policies"), "") + below({"clients": config.get("clients")}, ("clients", "servers", "tools"), "")
+
+
+def scopes(client: Column, server: Column, tool: Column) -> Column:
+    """The scopes in which a call lies: '', its client, client:server, client:server:tool."""
+    return F.array(F.lit(""), client, F.concat_ws(":", client, server), F.concat_ws(":", client, server, tool))

@@ -37,13 +37,24 @@ def counts() -> list[Column]:
     return [F.count(F.when(F.col("severity") == s, 1)).alias(f"n_{s.lower()}") for s in RANK]
 
 
-def score(findings: DataFrame, key: str) -> DataFrame:
-    """(key, counts, base, score, level) by one aggregation of findings (severity, optional flows)."""
-    n = findings.groupBy(key).agg(*counts())
-    base = base_score(*[F.col(f"n_{s}") for s in ("critical", "high", "medium", "low", "info")])
-    ml = ml_score(F.col("n_critical"), F.col("n_high"), F.lit(0))
-    out = n.withColumn("base", base).withColumn("score", final_score(base, F.lit(0.0), F.lit(0.0), ml))
-    return out.withColumn("level", level(F.col("score")))
+def score(findings: DataFrame, key: str, flows: DataFrame | None = None, behaviors: DataFrame | None = None) -> DataFrame:
+    """(key, counts, base, flow, behavior, score, level) of findings (severity), flows (is_tainted) and behaviors (risk_score),
+    each aggregated by itself before they meet. flow is the share of tainted flows, behavior the mean risk."""
+    out = findings.groupBy(key).agg(*counts())
+    tainted = F.count(F.when(F.col("is_tainted"), 1))
+    for rows, cols in ((flows, [tainted.alias("n_tainted"), (tainted / F.count(F.lit(1))).alias("flow")]), (behaviors, [F.avg("risk_score").alias("behavior")])):
+        if rows is not None:
+            out = out.join(rows.groupBy(key).agg(*cols), key, "full")
+    have = {c: F.coalesce(c, F.lit(0)) if c in out.columns else F.lit(0) for c in ("n_critical", "n_high", "n_medium", "n_low", "n_info", "n_tainted", "flow", "behavior")}
+    base = base_score(*[have[f"n_{s}"] for s in ("critical", "high", "medium", "low", "info")])
+    ml = ml_score(have["n_critical"], have["n_high"], have["n_tainted"])
+    out = out.withColumns({c: x for c, x in have.items() if c != "n_tainted"}).withColumn("base", base)
+    return out.withColumn("score", final_score(base, have["flow"], have["behavior"], ml)).withColumn("level", level(F.col("score")))
+
+
+def local_score(critical: Column, high: Column, tainted: Column) -> Column:
+    """The score where no ensemble is at hand: a critical finding, more than two high ones, a tainted flow."""
+    return F.least(F.lit(1.0), F.when(critical > 0, 0.5).otherwise(0.0) + F.when(high > 2, 0.3).otherwise(0.0) + F.when(tainted > 0, 0.2).otherwise(0.0))
 
 
 def confidence(files: Column, lines: Column, mean: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,18 +58,27 @@ def within(rows: DataFrame, group: str, seconds: str, window: int) -> DataFrame:
 
 
 def pack_tokens(items: DataFrame, group: str, order: list[str], size: str, most: int) -> DataFrame:
-    """(group, item order, batch): items in order, a new batch where the next would not fit. A fold over each group's
-    sorted sizes; an item larger than `most` is a batch of its own."""
-    rows = items.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(*order, size))).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc, x):
-        fits = (acc["used"] == 0) | (acc["used"] + x[size] <= most)
-        batch = F.when(fits, acc["batch"]).otherwise(acc["batch"] + 1)
-        return F.struct(F.when(fits, acc["used"] + x[size]).otherwise(x[size]).cast("long").alias("used"), batch.alias("batch"), F.concat(acc["out"], F.array(batch)).alias("out"))
-
-    out = rows.withColumn("batches", F.aggregate("items", start, step, lambda acc: acc["out"]))
-    return out.select(group, F.explode(F.arrays_zip("items", "batches")).alias("x")).select(group, "x.items.*", F.col("x.batches").alias("batch"))
+    """(group, item order, size, batch): items in order, a new batch where the next would not fit; an item larger than `most`
+    is a batch of its own. Each batch depends on the one before, so a group's rows pass through one task in order; they stream,
+    and the task holds one count."""
+    rows = items.select(group, *order, size).repartition(group).sortWithinPartitions(group, *order)
+
+    def walk(parts):
+        last, used, batch = object(), 0, 0
+        for pdf in parts:
+            out = []
+            for g, n in zip(pdf[group], pdf[size].fillna(0), strict=True):
+                g = None if pd.isna(g) else g
+                if g != last:
+                    last, used, batch = g, 0, 0
+                elif used and used + n > most:
+                    used, batch = 0, batch + 1
+                used += int(n)
+                out.append(batch)
+            yield pdf.assign(batch=out)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(walk, f"{schema}, batch int")
 
 
 def adaptive_thresholds(history: DataFrame, critical: str = "critical_count", high: str = "high_count") -> DataFrame:
@@ -87,3 +97,54 @@ def batch_stats(batches: DataFrame, tokens: str = "tokens", score: str = "rank")
 def client_summary(configs: DataFrame, client: str = "client", path: str = "path", servers: str = "n_servers") -> DataFrame:
     """Configurations and servers of each client, with a total (client null)."""
     return configs.rollup(client).agg(F.count(F.lit(1)).alias("configs"), F.sum(servers).alias("servers"), F.countDistinct(path).alias("paths"))
+
+
+def merged_signatures(held: DataFrame, imported: DataFrame, key: str = "tool_id", replace: bool = False) -> DataFrame:
+    """Two signature tables as one: imported rows win, or stand alone where they replace."""
+    if replace:
+        return imported
+    return held.join(imported.select(key).distinct(), key, "left_anti").unionByName(imported, allowMissingColumns=True)
+
+
+def signature_report(tools: DataFrame, server: str = "server", seen: str = "times_seen", changed: str = "changed") -> DataFrame:
+    """(server, tools, changed, seen) with a total (server null)."""
+    return tools.rollup(server).agg(F.count(F.lit(1)).alias("tools"), F.count(F.when(F.col(changed), 1)).alias("changed"), F.sum(seen).alias("seen"))
+
+
+def answer_rollup(findings: DataFrame, results: DataFrame, key: str = "scan", kind: str = "type", risk: str = "risk_score") -> DataFrame:
+    """(key, risk, findings, critical, high, by_type): what models said of a scan. risk is the mean over its results."""
+    n = findings.groupBy(key, kind).agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col("severity") == s, 1)).alias(s.lower()) for s in ("CRITICAL", "HIGH")])
+    by = n.groupBy(key).agg(F.sum("n").alias("findings"), F.sum("critical").alias("critical"), F.sum("high").alias("high"), F.map_from_entries(F.sort_array(F.collect_list(F.struct(kind, "n")))).alias("by_type"))
+    return results.groupBy(key).agg(F.avg(risk).alias("risk")).join(by, key, "left").fillna(0, ["findings", "critical", "high"])
+
+
+def timeline(events: DataFrame, session: str, order: list[str]) -> DataFrame:
+    """Events numbered within their session by time, ties by the further columns."""
+    return events.withColumn("step", F.row_number().over(Window.partitionBy(session).orderBy(*order)))
+
+
+def fresh(rows: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
+    """`warm`: whether the key was looked up within the `seconds` before (its entry is then still cached). Each lookup that
+    finds none fills the cache anew, so an entry's age counts from the fill, which only an ordered walk can tell: see
+    `streaming.sessions.cache`; this is the simpler question of the last lookup."""
+    before = F.lag(at).over(Window.partitionBy(key).orderBy(at))
+    return rows.withColumn("warm", F.coalesce(F.unix_micros(at) - F.unix_micros(before) <= seconds * 1000000, F.lit(False)))
+
+
+def ranked_findings(findings: DataFrame, group: str, severity: Column, tie: list[str], most: int | None = None) -> DataFrame:
+    """Findings of each group from the gravest and surest down, numbered; `most` keeps the first of each (a report)."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(severity.desc(), F.desc("confidence"), *tie))
+    out = findings.withColumn("place", place)
+    return out if most is None else out.filter(F.col("place") <= most)
+
+
+def fixed_batches(files: DataFrame, group: str, order: list, size: int) -> DataFrame:
+    """`batch`: files of a group in order, `size` to a batch."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return files.withColumn("batch", F.floor((place - 1) / size))
+
+
+def directories(files: DataFrame, path: str, score: str) -> DataFrame:
+    """(directory, files, most): directories by the best score in them, a directory each as one unit of work."""
+    at = F.regexp_replace(path, r"/?[^/]*$", "").alias("directory")
+    return files.select(at, score).groupBy("directory").agg(F.count(F.lit(1)).alias("files"), F.max(score).alias("most"))

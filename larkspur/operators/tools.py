@@ -73,14 +73,24 @@ def describe(files: DataFrame, path: str = "path", code: str = "content") -> Dat
     return out.withColumn("score", F.greatest(F.lit(0), 100 - lost))
 
 
-def relations(tools: DataFrame, repository: str | None = None) -> DataFrame:
-    """(path, imports): a tool imports another of its repository whose path or name holds the imported module. Without a
-    repository the whole input counts as one, which suits one repository's tools only."""
-    key = F.col(repository) if repository else F.lit(0)
-    a = tools.select(key.alias("_k"), F.col("path"), F.explode("imports").alias("_module")).distinct()
-    b = tools.select(key.alias("_k"), F.col("path").alias("imports"), F.col("tool").alias("_tool"))
-    held = F.contains("imports", "_module") | F.contains("_tool", "_module")
-    return a.join(b, "_k").filter((F.col("path") != F.col("imports")) & held).select("path", "imports").distinct()
+def relations(tools: DataFrame, repository: str) -> DataFrame:
+    """(repository, path, imports): a tool imports another of its repository whose path or name holds the imported module.
+
+    Names are filed under their substrings of the lengths that modules have, so that tools meet by an equi-join whose rows
+    are the answer; no tool is tried against all others."""
+    a = tools.select(repository, "path", F.explode("imports").alias("module")).filter("module <> ''").distinct()
+    lengths = sorted(r[0] for r in a.select(F.length("module")).distinct().collect())  # no more than the longest module has characters
+    names = tools.select(repository, F.col("path").alias("imports"), F.array("path", "tool").alias("said"))
+
+    def of_length(text: Column, n: int) -> Column:
+        return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))
+
+    def pieces(text: Column) -> Column:
+        own = [of_length(text, n) for n in lengths]
+        return F.flatten(F.array_compact(F.array(*own))) if own else F.array().cast("array<string>")
+
+    b = names.withColumn("module", F.explode(F.array_distinct(F.flatten(F.transform("said", pieces))))).drop("said")
+    return a.join(b, [repository, "module"]).filter(F.col("path") != F.col("imports")).select(repository, "path", "imports").distinct()
 
 
 def summary(tools: DataFrame) -> DataFrame:

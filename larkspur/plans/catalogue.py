@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import answers
 from larkspur.functions import text as X
-from larkspur.functions.python import ast_facts, behavior
-from larkspur.functions.taint import taint_flows
 from larkspur.operators import context, detect, flows, linewise, policy, prompts, ranking, report, rules, score, signatures, store, tools
 from larkspur.session import ship, spread, table
 
@@ -193,12 +191,23 @@ _BASE = """CASE WHEN n_critical > 0 THEN least(1.0, 0.85 + 0.05 * (n_critical -
   WHEN n_medium > 0 THEN least(0.59, 0.4 + 0.03 * (n_medium - 1)) WHEN n_low > 0 THEN least(0.39, 0.2 + 0.02 * (n_low - 1)) WHEN n_info > 0 THEN 0.1 ELSE 0.0 END"""
 
 
+_FLOWS = f"""SELECT d.source, s.doc_id, s.t AS source_type, k.t AS sink_type FROM (SELECT doc_id, 'user_input' AS t FROM documents WHERE regexp_matches(text, '!!') UNION ALL SELECT doc_id, 'network' FROM documents WHERE regexp_matches(text, '{IP}')) s
+JOIN (SELECT doc_id, 'command_execution' AS t FROM documents WHERE regexp_matches(text, '[#%$&*]{{3}}') UNION ALL SELECT doc_id, 'file_write' FROM documents WHERE length(text) > 1000) k USING (doc_id) JOIN documents d USING (doc_id)"""
+_PAIR = "CASE WHEN source_type = 'user_input' AND sink_type = 'command_execution' THEN 1.0 WHEN source_type = 'network' AND sink_type = 'command_execution' THEN 0.9 WHEN source_type = 'user_input' THEN 0.6 ELSE 0.3 END"
+
+
 @query(f"""WITH n AS (SELECT source, {', '.join(f"count(*) FILTER (WHERE severity = '{s}') AS n_{s.lower()}" for s in rules.RANK)} FROM ({_FINDINGS}) GROUP BY source),
-b AS (SELECT *, CAST({_BASE} AS DOUBLE) AS base, least(1.0, CASE WHEN n_critical > 0 THEN 0.5 ELSE 0 END + CASE WHEN n_high > 1 THEN 0.2 ELSE 0 END) AS ml FROM n),
-s AS (SELECT *, 0.7 * base + 0.1 * ml AS raw FROM b), f AS (SELECT source, n_critical, n_high, least(1.0, CASE WHEN base >= 0.85 THEN greatest(raw, 0.8) WHEN base >= 0.6 THEN greatest(raw, 0.6) ELSE raw END) AS score FROM s)
+w AS (SELECT source, count(*) FILTER (WHERE {_PAIR} > 0.3) AS n_tainted, count(*) FILTER (WHERE {_PAIR} > 0.3) / count(*) AS flow FROM ({_FLOWS}) GROUP BY source),
+h AS (SELECT source, 0.8 AS behavior FROM ({_FINDINGS}) GROUP BY source HAVING count(DISTINCT category) >= 3),
+j AS (SELECT source, {', '.join(f'coalesce(n_{s.lower()}, 0) AS n_{s.lower()}' for s in rules.RANK)}, coalesce(n_tainted, 0) AS n_tainted, coalesce(flow, 0) AS flow, coalesce(behavior, 0) AS behavior FROM n FULL JOIN w USING (source) FULL JOIN h USING (source)),
+b AS (SELECT *, CAST({_BASE} AS DOUBLE) AS base, least(1.0, CASE WHEN n_critical > 0 THEN 0.5 ELSE 0 END + CASE WHEN n_high > 1 THEN 0.2 ELSE 0 END + CASE WHEN n_tainted > 0 THEN 0.2 ELSE 0 END) AS ml FROM j),
+s AS (SELECT *, 0.7 * base + 0.1 * flow + 0.1 * behavior + 0.1 * ml AS raw FROM b), f AS (SELECT source, n_critical, n_high, least(1.0, CASE WHEN base >= 0.85 THEN greatest(raw, 0.8) WHEN base >= 0.6 THEN greatest(raw, 0.6) ELSE raw END) AS score FROM s)
 SELECT source, n_critical, n_high, CAST(round(score, 6) AS DOUBLE) AS score, CASE WHEN score >= 0.8 THEN 'CRITICAL' WHEN score >= 0.6 THEN 'HIGH' WHEN score >= 0.4 THEN 'MEDIUM' WHEN score >= 0.2 THEN 'LOW' ELSE 'MINIMAL' END AS level FROM f""")
 def threat_score(spark, sf_dir):
-    return score.score(_findings(spark, sf_dir), "source").select("source", "n_critical", "n_high", F.round("score", 6).alias("score"), "level")
+    found = _findings(spark, sf_dir)
+    met = _flow_pairs(spark, sf_dir, "source")
+    out = score.score(found, "source", met.select("source", "is_tainted"), score.multi_vector(found, "source", place="doc_id").select("source", "risk_score"))
+    return out.select("source", "n_critical", "n_high", F.round("score", 6).alias("score"), "level")
 
 
 @query(f"SELECT source, count(DISTINCT category) AS vectors, count(DISTINCT doc_id) AS files, 'multi_vector_attack' AS behavior, CAST(0.8 AS DOUBLE) AS risk_score FROM ({_FINDINGS}) GROUP BY source HAVING count(DISTINCT category) >= 3")
@@ -351,7 +360,7 @@ def policy_verdicts(spark, sf_dir):
 
 @query("SELECT event_id, '$.k' AS path, props->>'$.k' AS value FROM events WHERE props->>'$.k' IS NOT NULL")
 def json_key_walk(spark, sf_dir):
-    return detect.json_leaves(table(spark, sf_dir, "events"), "event_id", "props", depth=2)
+    return detect.json_leaves(table(spark, sf_dir, "events"), "event_id", "props")
 
 
 @query(f"""WITH d AS (SELECT doc_id, 'static' AS origin, 0.8 AS c FROM documents WHERE regexp_matches(text, '!!') UNION ALL SELECT doc_id, 'entropy', 0.6 FROM documents WHERE length(text) > 4000 UNION ALL SELECT doc_id, 'label', 0.9 FROM labels WHERE quality = 0)
@@ -366,21 +375,18 @@ def source_confirmation(spark, sf_dir):
 k AS (SELECT doc_id, 'command_execution' AS sink_type FROM documents WHERE regexp_matches(text, '[#%$&*]{{3}}') UNION ALL SELECT doc_id, 'file_write' FROM documents WHERE length(text) > 1000)
 SELECT doc_id, source_type, sink_type, CAST(CASE WHEN source_type = 'user_input' AND sink_type = 'command_execution' THEN 1.0 WHEN source_type = 'network' AND sink_type = 'command_execution' THEN 0.9 WHEN source_type = 'user_input' THEN 0.6 ELSE 0.3 END AS DOUBLE) AS risk_score FROM s JOIN k USING (doc_id)""")
 def flow_pairs(spark, sf_dir):
-    docs, t = table(spark, sf_dir, "documents"), F.col("text")
+    return _flow_pairs(spark, sf_dir).select("doc_id", "source_type", "sink_type", "risk_score")
 
-    def parts(name, kinds):
-        return docs.select("doc_id", F.explode(F.filter(F.array(*[F.when(c, k) for k, c in kinds.items()]), lambda x: x.isNotNull())).alias(name))
 
-    sources = parts("source_type", {"user_input": F.contains(t, F.lit("!!")), "network": t.rlike(IP)})
-    sinks = parts("sink_type", {"command_execution": t.rlike(r"[#%$&*]{3}"), "file_write": F.length(t) > 1000})
-    return flows.pairs(sources, sinks, "doc_id").select("doc_id", "source_type", "sink_type", "risk_score")
+def _flow_pairs(spark, sf_dir, *keep):
+    docs, t = table(spark, sf_dir, "documents"), F.col("text")
 
+    def parts(name, kinds, *keep):
+        return docs.select("doc_id", *keep, F.explode(F.filter(F.array(*[F.when(c, k) for k, c in kinds.items()]), lambda x: x.isNotNull())).alias(name))
 
-@query("SELECT p_type, p_brand, word, count(*) AS tools FROM (SELECT p_type, p_brand, unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY ALL HAVING count(*) > 1")
-def tool_theta_join(spark, sf_dir):
-    """Tools that name each other's words, met by word instead of in pairs."""
-    words = table(spark, sf_dir, "part").select("p_type", "p_brand", F.explode(F.split("p_name", " ")).alias("word"))
-    return words.groupBy("p_type", "p_brand", "word").agg(F.count(F.lit(1)).alias("tools")).filter("tools > 1")
+    sources = parts("source_type", {"user_input": F.contains(t, F.lit("!!")), "network": t.rlike(IP)}, *keep)
+    sinks = parts("sink_type", {"command_execution": t.rlike(r"[#%$&*]{3}"), "file_write": F.length(t) > 1000})
+    return flows.pairs(sources, sinks, "doc_id")
 
 
 @query()
@@ -429,8 +435,8 @@ def threat_rate_by_group(spark, sf_dir):
 @query("SELECT event_type, coalesce(lvl, 'ALL') AS lvl, count(*) AS n FROM (SELECT event_type, CASE WHEN value > 100 THEN 'HIGH' ELSE 'LOW' END AS lvl FROM events) GROUP BY GROUPING SETS ((event_type), (event_type, lvl))")
 def activity_summary(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_type", F.when(F.col("value") > 100, "HIGH").otherwise("LOW").alias("lvl"))
-    rows.createOrReplaceTempView("_activity")
-    return spark.sql("SELECT event_type, coalesce(lvl, 'ALL') AS lvl, count(*) AS n FROM _activity GROUP BY GROUPING SETS ((event_type), (event_type, _activity.lvl))")
+    sets = rows.groupingSets([["event_type"], ["event_type", "lvl"]], "event_type", "lvl").agg(F.count(F.lit(1)).alias("n"))
+    return sets.select("event_type", F.coalesce("lvl", F.lit("ALL")).alias("lvl"), "n")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY")
@@ -479,25 +485,6 @@ def hook_verdicts(spark, sf_dir):
     return pages.groupBy("reason").agg(F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("first_page"))
 
 
-#: Small sources of code, for the operators that read code.
-CODE = [
-    ("a.py", "import subprocess\ncmd = input()\nline = 'ls ' + cmd\nsubprocess.run(line, shell=True)\n"),
-    ("b.py", "import os\nx = os.environ['HOME']\ny = x\nz = y\nexec(z)\n"),
-    ("c.py", "def broken(:\n"),
-]
-
-
-@query()
-def ast_call_facts(spark, sf_dir):
-    ship(spark)
-    return spark.createDataFrame(CODE, "path string, content string").select("path", F.explode(ast_facts(F.col("content"))).alias("f")).select("path", "f.*")
-
-
-@query()
-def taint_paths(spark, sf_dir):
-    return flows.taint_in_code(spark.createDataFrame(CODE, "path string, content string"))
-
-
 @query()
 def line_rules(spark, sf_dir):
     """All line rules over all turns of conversations: the first that matches, by line and category."""
@@ -640,29 +627,6 @@ def balanced_order(spark, sf_dir):
     return ranking.balanced(docs, "source", order=("doc_id",)).select("source", "doc_id", F.col("turn").cast("long"))
 
 
-@query()
-def tool_inventory(spark, sf_dir):
-    """What the small sources of code offer as tools: names, imports, operations, concerns, score."""
-    rows = spark.createDataFrame([(f"src/tool_{p}", c) for p, c in CODE], "path string, content string")
-    return tools.describe(rows)
-
-
-@query()
-def code_behavior(spark, sf_dir):
-    """Indicators of what the small sources of code do, and the risk they come to."""
-    ship(spark)
-    rows = spark.createDataFrame(CODE, "path string, content string").select("path", behavior(F.col("content")).alias("found"))
-    return rows.select("path", F.size("found").cast("long").alias("indicators"), tools.semantic_risk(F.col("found")).alias("r")).select("path", "indicators", "r.*")
-
-
-@query()
-def module_taint(spark, sf_dir):
-    """Flows from sources to sinks in the small sources of code, fields and callers kept apart."""
-    ship(spark)
-    rows = spark.createDataFrame(CODE, "path string, content string").select("path", F.explode(taint_flows(F.col("content"))).alias("f")).select("path", "f.*")
-    return rows.withColumn("steps", F.array_join("steps", ","))
-
-
 @query("""WITH h AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS c, count(*) FILTER (WHERE event_type = 'click') AS k FROM events GROUP BY user_id), a AS (SELECT avg(c) AS c, avg(k) AS k FROM h)
 SELECT greatest(3, CAST(floor(c * 1.5) AS BIGINT)) AS critical, greatest(10, CAST(floor(k * 1.5) AS BIGINT)) AS high, c < 0.5 AS first_critical FROM a""")
 def exit_thresholds(spark, sf_dir):

@@ -67,7 +67,7 @@ def test_tools(spark):
     assert by["a/my.py"].imports and by["a/my.py"].imports[0].startswith("tool_b")
     assert tools.summary(got).first().critical == 1
     links = spark.createDataFrame([("p", "one", ["tool_b"]), ("q/tool_b.py", "two", [])], "path string, tool string, imports array<string>")
-    assert [tuple(r) for r in tools.relations(links).collect()] == [("p", "q/tool_b.py")]
+    assert [tuple(r) for r in tools.relations(links.withColumn("repo", F.lit("r")), "repo").drop("repo").collect()] == [("p", "q/tool_b.py")]
 
 
 def test_manifest_and_configuration(spark):
