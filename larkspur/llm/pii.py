@@ -6,7 +6,7 @@ more for a checksum, more for a word of its context within 40 code points before
 
 Patterns are written so that the Java engine stays linear on long runs of one class: a match may start only where a run
 starts or the last match ended, and runs do not backtrack. Texts without a kind's tell-tale skip its work. Lists of matches
-grow in blocks of BLOCK and texts are looked into by chunks of CHUNK code points, so a long text with a match in every line
+grow in blocks and texts are looked into by chunks of CHUNK code points, so a long text with a match in every line
 costs its length and not its square.
 
 Cases: null text is the empty text. Offsets are code points in the whole text, end exclusive. Empty table: empty result."""
@@ -16,9 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions.text import let, listed
 from larkspur.session import unused
 
-BLOCK, CHUNK = 256, 4096
+CHUNK = 4096
 #: The kinds' patterns. Each gives the same matches as its plain form in the docstring of `find`.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -47,29 +48,6 @@ BASE = ("email", "ip", "card", "phone")
 SPAN = "array<struct<kind:string,start:int,end:int,score:double,hit:string>>"
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with the value worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def listed(items: Column, state: Column, kind: str, step) -> Column:
-    """array<kind>: a fold in which step(state, item) gives (next state, array of results). Results are gathered block by
-    block, so that none is copied more often than there are blocks."""
-
-    def inner(acc, x):
-        state, made = step(acc["state"], x)
-        return F.struct(state.alias("state"), F.concat(acc["out"], made).alias("out"))
-
-    def outer(acc, block):
-        own = F.aggregate(block, F.struct(acc["state"].alias("state"), F.array().cast(f"array<{kind}>").alias("out")), inner)
-        return let(own, lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
-
-    begins = lambda all_: F.sequence(F.lit(0), F.greatest(F.size(all_) - 1, F.lit(0)), F.lit(BLOCK))
-    blocks = let(items, lambda all_: F.transform(begins(all_), lambda i: F.slice(all_, i + 1, F.lit(BLOCK))))
-    start = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
-    return F.flatten(F.aggregate(blocks, start, outer, lambda acc: acc["out"]))
-
-
 def chunks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
 
