@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import n_words
-from larkspur.session import cut, ship
+from larkspur.session import cut, ship, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -151,14 +151,24 @@ class Mix:
 
     def texts(self, docs: DataFrame, *, text_col="text", source_col="source", count_col: str | None = "n_chars") -> DataFrame:
         """The mix as documents: one row for each document and pass that takes any of its words. A pass that takes all of them
-        keeps the text as it is; else its runs of words are cut out whole and joined by a newline."""
-        runs = self.pieces.groupBy("sid", "bucket", "rn", "turn").agg(F.collect_list(F.struct("start", "words")).alias("runs"))
-        twin = Window.partitionBy("key").orderBy("sid", "bucket", "rn")
-        keyed = self.rows.withColumn("twin", F.row_number().over(twin)).join(runs, ["sid", "bucket", "rn"])
-        keyed = keyed.select(*(F.col(c).alias(f"_{c}") for c in ("key", "twin", "size", "runs")))
-        own = docs.withColumn("_key", F.xxhash64(F.col(self.id_col), F.coalesce(F.col(text_col), F.lit("")), F.col(source_col)))
-        own = own.withColumn("_twin", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
+        keeps the text as it is; else its runs of words are cut out whole and joined by a newline.
+
+        Texts are shuffled once, to what is taken of them. Only rows that repeat (id, text and source alike) go again, numbered
+        so that each takes a share of its own."""
         columns, word = docs.columns, re.compile(r"[^\x20\x09-\x0D]+")
+        key, size, turns, at = unused(columns, "key", "size", "turns", "at")
+        place = ["sid", "bucket", "rn"]
+        runs = self.pieces.groupBy(*place, "turn").agg(F.collect_list(F.struct("start", "words")).alias("runs"))
+        passes = runs.groupBy(*place).agg(F.sort_array(F.collect_list(F.struct("turn", "runs"))).alias("turns"))
+        alike = Window.partitionBy("key")
+        each = self.rows.withColumns({"n": F.count(F.lit(1)).over(alike), "twin": F.row_number().over(alike.orderBy(*place))})
+        each = cut(each.join(passes, place, "left").filter("n > 1 OR turns IS NOT NULL").select(F.col("key").alias(key), "n", F.col("twin").alias(at), F.col("size").alias(size), F.col("turns").alias(turns)))
+        own = docs.withColumn(key, F.xxhash64(F.col(self.id_col), F.coalesce(F.col(text_col), F.lit("")), F.col(source_col)))
+        told = own.join(each.filter("n = 1").drop("n", at), key).select(*columns, size, turns)
+        again = each.filter("n > 1").drop("n")
+        if not again.isEmpty():
+            twins = own.join(again.select(key).distinct(), key, "left_semi").withColumn(at, F.row_number().over(Window.partitionBy(key).orderBy(key)))
+            told = told.unionByName(twins.join(again.filter(F.col(turns).isNotNull()), [key, at]).select(*columns, size, turns))
 
         def cut_out(text, size, runs):
             runs = sorted((int(r["start"]), int(r["start"]) + int(r["words"])) for r in runs)
@@ -174,9 +184,10 @@ class Mix:
 
         def rows(batches):
             for pdf in batches:
-                pdf[text_col] = [cut_out(t, s, r) for t, s, r in zip(pdf[text_col], pdf["_size"], pdf["_runs"], strict=True)]
+                out = pdf.iloc[np.repeat(np.arange(len(pdf)), [len(t) for t in pdf[turns]])].copy()
+                out[text_col] = [cut_out(t, s, r) for t, s, passes in zip(pdf[text_col], pdf[size], pdf[turns], strict=True) for r in (p["runs"] for p in passes)]
                 if count_col in columns:
-                    pdf[count_col] = pdf[text_col].str.len()
-                yield pdf[columns]
+                    out[count_col] = out[text_col].str.len()
+                yield out[columns]
 
-        return own.join(keyed, ["_key", "_twin"]).select(*columns, "_size", "_runs").mapInPandas(rows, docs.schema)
+        return told.mapInPandas(rows, docs.schema)
