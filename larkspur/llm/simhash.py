@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.session import cut, ship, unused
@@ -42,15 +42,17 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little", signed=True)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp long, _h long) of every document; _h is a hash of the text."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, mark: Column | None = None) -> DataFrame:
+    """(id, fp long, and `mark` as _mark where given) of every document."""
     ship(docs.sparkSession)
+    marks = [] if mark is None else ["_mark"]
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({id_col: pdf[id_col], "fp": [fingerprint(t, width) for t in pdf[text_col]], "_h": pdf["_h"]})
+            yield pdf[[id_col, *marks]].assign(fp=[fingerprint(t, width) for t in pdf[text_col]])
 
-    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("_h")).mapInPandas(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, fp long, _h long")
+    rows = docs.select(id_col, text_col, *[mark.alias(m) for m in marks])
+    return rows.mapInPandas(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, " + "_mark string, " * len(marks) + "fp long")
 
 
 def masks(bits: int, budget: int) -> list[tuple[int, int]]:
@@ -203,9 +205,10 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2) -> DataFrame:
-    """(id, fp, _h, component_id, root) of every document; root is a fingerprint of the component that no other one has."""
-    marked = cut(fingerprints(docs, id_col, text_col, width))
+def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2, mark: Column | None = None) -> DataFrame:
+    """(id, fp, component_id, root, and `mark` as _mark where given) of every document; root is a fingerprint of the component
+    that no other one has."""
+    marked = cut(fingerprints(docs, id_col, text_col, width, mark))
     distinct = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("rows")))
     n, rows = distinct.agg(F.count(F.lit(1)), F.sum("rows")).first()
     joined = cut(components(links(distinct.select("fp"), n, budget)))
@@ -226,11 +229,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one document of each component: that of the smallest id, or one without an id where no document has any.
-    Of a component's rows that share this id, one stays; components that share it keep a row each."""
-    key, mark, at, one = unused(docs.columns, "key", "mark", "at", "one")
-    first = F.min(F.struct(F.col(id_col).isNull().alias("bare"), F.col(id_col).alias("id"), F.col("_h").alias("hash"))).alias("first")
-    kept = members(docs, id_col, text_col).groupBy("root").agg(first).select(F.col("first.id").alias(key), F.col("first.hash").alias(mark))
-    rows = docs.withColumn(at, F.xxhash64(text_col))
-    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(at) == F.col(mark)), "left_semi")
-    copies = Window.partitionBy(id_col, at).orderBy(text_col)
-    return rows.withColumn(one, F.row_number().over(copies)).filter(F.col(one) == 1).select(docs.columns)
+    Of a component's rows that share this id, one stays; components that share it keep a row each. A row is known by 128 bits
+    of hashes of its id and text: texts are shuffled by these once, for the join and for the choice among repeated rows."""
+    key, at, one = unused(docs.columns, "key", "at", "one")
+    mark = F.concat_ws(":", F.xxhash64(id_col, text_col), F.xxhash64(text_col, F.lit(1), id_col))
+    first = F.min(F.struct(F.col(id_col).isNull(), id_col, "_mark"))["_mark"].alias(key)
+    kept = members(docs, id_col, text_col, mark=mark).groupBy("root").agg(first).select(key)
+    rows = docs.withColumn(at, mark)
+    rows = rows.join(kept, F.col(at) == F.col(key), "left_semi")
+    return rows.withColumn(one, F.row_number().over(Window.partitionBy(at).orderBy(at))).filter(F.col(one) == 1).select(docs.columns)
