@@ -446,7 +446,10 @@ def retention(spark, sf_dir):
     return store.retain(orders, {}, F.col("o_orderdate") >= F.lit(last) - F.expr("INTERVAL 365 DAY"), "o_orderkey")[0].select("o_orderkey")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT source, doc_id, length(text) // 4 AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+w AS (SELECT source, doc_id, tokens, i, tokens AS used, 0 AS batch FROM r WHERE i = 1
+  UNION ALL SELECT r.source, r.doc_id, r.tokens, r.i, CASE WHEN w.used = 0 OR w.used + r.tokens <= 6000 THEN w.used + r.tokens ELSE r.tokens END, CASE WHEN w.used = 0 OR w.used + r.tokens <= 6000 THEN w.batch ELSE w.batch + 1 END FROM w JOIN r ON r.source = w.source AND r.i = w.i + 1)
+SELECT source, doc_id, tokens, batch FROM w""")
 def token_batches(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", X.tokens_estimate(F.col("text")).alias("tokens"))
     return store.pack_tokens(docs, "source", ["doc_id"], "tokens", 6000)

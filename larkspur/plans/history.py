@@ -142,12 +142,12 @@ def template_policies(spark, sf_dir):
 
 
 @query(f"""WITH n AS (SELECT source, count(*) FILTER (WHERE severity = 'CRITICAL') AS c, count(*) FILTER (WHERE severity = 'HIGH') AS h FROM ({_FINDINGS}) GROUP BY source)
-SELECT source, least(1.0, CASE WHEN c > 0 THEN 0.5 ELSE 0 END + CASE WHEN h > 1 THEN 0.2 ELSE 0 END + CASE WHEN c % 2 = 1 THEN 0.2 ELSE 0 END)::DOUBLE AS ensemble, least(1.0, CASE WHEN c > 0 THEN 0.5 ELSE 0 END + CASE WHEN h > 2 THEN 0.3 ELSE 0 END + CASE WHEN c % 2 = 1 THEN 0.2 ELSE 0 END)::DOUBLE AS local FROM n""")
+SELECT source, round(least(1.0, CASE WHEN c > 0 THEN 0.5 ELSE 0 END + CASE WHEN h > 1 THEN 0.2 ELSE 0 END + CASE WHEN c % 2 = 1 THEN 0.2 ELSE 0 END)::DOUBLE, 6) AS ensemble, round(least(1.0, CASE WHEN c > 0 THEN 0.5 ELSE 0 END + CASE WHEN h > 2 THEN 0.3 ELSE 0 END + CASE WHEN c % 2 = 1 THEN 0.2 ELSE 0 END)::DOUBLE, 6) AS local FROM n""")
 def learned_scores(spark, sf_dir):
     """The scores of the ensemble and of its local stand-in; an odd number of critical findings plays the tainted flow."""
     n = _findings(spark, sf_dir).groupBy("source").agg(*score.counts())
     args = F.col("n_critical"), F.col("n_high"), F.col("n_critical") % 2
-    return n.select("source", score.ml_score(*args).alias("ensemble"), score.local_score(*args).alias("local"))
+    return n.select("source", F.round(score.ml_score(*args), 6).alias("ensemble"), F.round(score.local_score(*args), 6).alias("local"))
 
 
 @query("SELECT source, CAST(round(least(1.0, n / 10.0 * least(l, 10000) / 10000.0) * coalesce(m, 1.0), 6) AS DOUBLE) AS confidence FROM (SELECT source, count(*) AS n, sum(length(text) - length(replace(text, chr(10), '')) + 1) AS l, avg(CASE WHEN text LIKE '%!!%' THEN 0.9 END) AS m FROM documents GROUP BY source)")
