@@ -62,12 +62,13 @@ def paths(links: DataFrame) -> DataFrame:
     return rows
 
 
-def conversations(messages: DataFrame, branches: int | None = 1) -> DataFrame:
+def conversations(messages: DataFrame, branches: int | None = 1, links: DataFrame | None = None) -> DataFrame:
     """The `branches` best paths of each tree (None: all) as conversations.
 
-    messages: tree, id, parent, role, text, score. Result: tree, leaf, rank, branch_score, formatted, loss_mask."""
+    messages: tree, id, parent, role, text, score. Result: tree, leaf, rank, branch_score, formatted, loss_mask.
+    links: the same tree, id, parent where they can be had without moving texts (`chain_links`)."""
     messages = messages.select("tree", "id", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    on_path = paths(messages.select("tree", "id", "parent"))
+    on_path = paths(messages.select("tree", "id", "parent") if links is None else links)
     scored = on_path.join(messages.select("tree", "id", "score"), ["tree", "id"]).groupBy("tree", "leaf").agg(F.sum("score").alias("branch_score"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf"))
     chosen = scored.withColumn("rank", rank)
@@ -104,9 +105,19 @@ def read_loss(formatted: Column, mask: Column) -> Column:
     return F.array_join(F.transform(mask, lambda m: unescape(F.substring(formatted, m["start"] + 1, m["end"] - m["start"]))), "")
 
 
+def _tree(tree_col: str) -> Column:
+    return F.coalesce(F.col(tree_col).cast("string"), F.lit("")).alias("tree")
+
+
+def chain_links(table: DataFrame, tree_col="conv_id") -> DataFrame:
+    """(tree, id, parent) of `chain`, from the number of rows of each tree alone."""
+    counts = table.groupBy(_tree(tree_col)).agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.select("tree", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("id"))
+    return rows.select("tree", "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"))
+
+
 def chain(table: DataFrame, tree_col="conv_id", turn_col="turn", role_col="role", text_col="text") -> DataFrame:
     """A table of linear conversations as reply trees: each row answers the one before it."""
-    tree = F.coalesce(F.col(tree_col).cast("string"), F.lit("")).alias("tree")
-    rows = table.select(tree, F.col(turn_col).alias("t"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = table.select(_tree(tree_col), F.col(turn_col).alias("t"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("id", F.row_number().over(Window.partitionBy("tree").orderBy("t", "role", "text")).cast("long"))
     return rows.select("tree", "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), "role", "text", F.length("text").alias("score"))

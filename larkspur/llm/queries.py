@@ -52,7 +52,8 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.sql(f"SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(t AS BIGINT) AS turn, r AS role, '{PROBE}' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS p(t, r)")
-    told = chat.conversations(chat.chain(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    told = chat.conversations(chat.chain(turns), links=chat.chain_links(turns))
     turns, loss = chat.read_turns(F.col("formatted")), chat.read_loss(F.col("formatted"), F.col("loss_mask"))
     told = told.select(F.when(F.col("tree") != "", F.col("tree")).cast("long").alias("conv_id"), "formatted", turns.alias("turns"), loss.alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

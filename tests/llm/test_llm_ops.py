@@ -393,6 +393,16 @@ def test_chat_trees(spark):
     assert out == {2: ("<|user|>hi</s><|assistant|>a</s>", 2), 4: ("<|user|>hi</s><|assistant|>b<\\/s></s><|user|></s>", 1), 5: ("<|user|>orphan</s>", 3)}
 
 
+def test_chat_links_without_texts(spark):
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "assistant", None), (None, 0, None, "b"), (None, 1, "user", ""), (2, 5, "user", "c")]
+    for some in (rows, []):
+        table = spark.createDataFrame(some, "conv_id long, turn long, role string, text string")
+        rowwise, counted = (sorted(map(tuple, d.select("tree", "id", "parent").collect()), key=str) for d in (chat.chain(table), chat.chain_links(table)))
+        assert rowwise == counted and len(counted) == len(some)
+        told = [chat.conversations(chat.chain(table), links=x).select("tree", "formatted", "loss_mask").collect() for x in (None, chat.chain_links(table))]
+        assert sorted(told[0]) == sorted(told[1])
+
+
 def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "<\\|x|\\> <|>", "", None, "[\\\\INST] </s", "|", "> a", "\U0001f926<", "a\nb"]
     rows = [(7, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(nasty)] + [(7, 3, "a|", "t"), (None, 1, None, "lone")]
