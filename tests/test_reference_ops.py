@@ -191,7 +191,7 @@ def test_sources(spark, tmp_path):
         (tmp_path / path).parent.mkdir(exist_ok=True)
         (tmp_path / path).write_text(body)
     got = files.repository(spark, str(tmp_path))
-    assert {r.path: r.text for r in got.collect()} == {"src/a.py": "print(1)", "d.json": "{}"}
+    assert {r.path: r.text for r in got.collect()} == {"src/a.py": "print(1)", "d.json": "{}", ".env": "K=1"}
     prints = {r.path: r for r in files.fingerprints(got).collect()}
     assert prints["src/a.py"].sha512 == hashlib.sha512(b"print(1)").hexdigest() and prints["src/a.py"].sha3_512 == hashlib.sha3_512(b"print(1)").hexdigest()
     paths = spark.createDataFrame([("a/.env", 1), ("a/.x", 1), ("lib/a.py", 1), ("a.py", 6 << 20), ("b.min.js", 1)], "p string, n long")
