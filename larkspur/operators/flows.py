@@ -115,6 +115,22 @@ def taint_in_code(files: DataFrame, path="path", code="content") -> DataFrame:
     return taint(edges, assigned.filter(F.col("value").rlike(SOURCE_CALLS)))
 
 
+def across_files(files: DataFrame, repository: str = "repository", path: str = "path", code: str = "content", rules=None) -> DataFrame:
+    """(scope, path, line, sink, hops, confidence): sinks that taint of other files reaches, through arguments and results.
+
+    Each file is parsed once, for what crosses its border; the rest are joins of nodes within a repository."""
+    from larkspur.functions.taint import Semantics, taint_links
+
+    ship(files.sparkSession)
+    links = taint_links(F.col(path), F.col(code), rules or Semantics())
+    facts = cut(files.select(F.col(repository).alias("scope"), F.col(path).alias("path"), F.explode(links).alias("f")).select("scope", "path", "f.*"))
+    edges = facts.filter("role = 'edge'").select("scope", F.col("node").alias("src"), F.col("to").alias("dst")).distinct()
+    reached = taint(edges, facts.filter("role = 'source'").select("scope", F.col("node").alias("var")))
+    sinks = facts.filter("role = 'sink'").select("scope", F.col("node").alias("var"), "path", "line", F.col("to").alias("sink"))
+    met = sinks.join(reached, ["scope", "var"]).groupBy("scope", "path", "line", "sink").agg(F.min("hops").alias("hops"))
+    return met.withColumn("confidence", F.pow(F.lit(0.9), F.col("hops")))
+
+
 # Kinds of sinks with what reaching them is, how grave, and its weaknesses; others are unknown.
 SINK_KINDS = {"exec": ("command_injection", "CRITICAL", ["CWE-77", "CWE-78"]), "command": ("command_injection", "CRITICAL", ["CWE-77", "CWE-78"]), "subprocess": ("command_injection", "CRITICAL", ["CWE-77", "CWE-78"]), "network": ("data_exfiltration", "HIGH", ["CWE-918", "CWE-200"]), "file_write": ("path_traversal", "HIGH", ["CWE-22", "CWE-73"]), "database": ("sql_injection", "HIGH", ["CWE-89"])}
 #: The names of `functions.taint` for the same kinds.

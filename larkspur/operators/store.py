@@ -41,6 +41,14 @@ def export(runs: DataFrame, threats: DataFrame, prints: DataFrame, key: str = "r
     return out.select(key, F.to_json(F.struct(*out.columns)).alias("report"))
 
 
+def activity_log(events: DataFrame, session: str, tool: str, at: str, first: list[str], type_: str = "tool_call") -> DataFrame:
+    """One JSON text an event, its type first, then the columns as they stand. Of events of the same session, tool and time the
+    first in the order of the columns `first` stays."""
+    once = latest(events, [session, tool, at], [F.col(c) for c in first])
+    shown = [F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c) if c == at else F.col(c) for c in events.columns if c not in first]
+    return once.select(*first, F.to_json(F.struct(F.lit(type_).alias("type"), *shown)).alias("event"))
+
+
 def top_in_group(rows: DataFrame, group: str, order: list, n: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= n)
 

@@ -181,7 +181,16 @@ def context_severity_remap(spark, sf_dir):
     return context.apply(_findings(spark, sf_dir).withColumn("purpose", purpose)).groupBy("severity", "purpose").agg(F.count(F.lit(1)).alias("findings"))
 
 
-@query()
+def _has(column: str, words: list[str]) -> str:
+    """SQL: the column holds one of the words."""
+    return "(" + " OR ".join(f"contains({column}, '{w.replace(chr(39), chr(39) * 2)}')" for w in words) + ")"
+
+
+_PURPOSE = f"""CASE WHEN {_has("p", ["/test/", "/tests/", "_test.py", "/test_"])} OR {_has("h", context.CONTENT["test"])} THEN 'test' WHEN {_has("p", context.PATHS["example"])} OR {_has("h", context.CONTENT["example"])} THEN 'example'
+WHEN {_has("p", context.PATHS["security_tool"])} OR len(regexp_extract_all(h, 'class \w*(?:Analyzer|Scanner|Detector|Auditor)|def (?:detect|scan|analyze|audit)_')) >= 2 THEN 'security_tool' WHEN {_has("p", context.PATHS["generated"])} OR {_has("h", context.CONTENT["generated"])} THEN 'generated' ELSE 'production' END"""
+
+
+@query(f"SELECT page_id, purpose, CAST(CASE purpose WHEN 'test' THEN 0.95 WHEN 'security_tool' THEN 0.85 WHEN 'production' THEN 0.7 ELSE 0.9 END AS DOUBLE) AS confidence FROM (SELECT page_id, {_PURPOSE} AS purpose FROM (SELECT page_id, '/' || lower(coalesce(url, '')) AS p, coalesce(html, '') AS h FROM pages))")
 def file_context(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", context.classify(F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))).alias("c")).select("page_id", "c.*")
@@ -623,7 +632,11 @@ def tool_verdicts(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", v.alias("v")).select("event_id", "v.level", "v.block")
 
 
-@query()
+@query("""WITH d AS (SELECT source, doc_id, (doc_id * 37 % 100) / 100.0 AS rank FROM documents), b AS (SELECT *, CASE WHEN rank >= 0.7 THEN 0 WHEN rank >= 0.4 THEN 1 ELSE 2 END AS band FROM d),
+n AS (SELECT source, doc_id, band, row_number() OVER (PARTITION BY source, band ORDER BY rank DESC, doc_id) - 1 AS n FROM b),
+k AS (SELECT source, least(count(*) FILTER (WHERE band = 0), count(*) FILTER (WHERE band = 1)) AS rounds FROM b GROUP BY source),
+p AS (SELECT n.*, CASE WHEN band = 2 THEN n * 3 + 2 WHEN n < rounds THEN n * 3 + band ELSE rounds * 3 + (n - rounds) // 2 * 3 + (n - rounds) % 2 END AS place FROM n JOIN k ON n.source IS NOT DISTINCT FROM k.source)
+SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY place, band, n) AS turn FROM p""")
 def balanced_order(spark, sf_dir):
     """Documents of each source in turns of high, middling and low rank, by a stand-in rank."""
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", (F.pmod(F.col("doc_id") * 37, F.lit(100)) / 100).alias("rank"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as X
 from larkspur.functions.python import ast_facts, behavior, code_shape, prose_facts
-from larkspur.functions.taint import taint_flows
+from larkspur.functions.taint import Semantics, taint_flows
 from larkspur.operators import context, detect, flows, policy, ranking, scan, score, store, tools
 from larkspur.plans.catalogue import query
 from larkspur.session import ship, spread, table
@@ -29,12 +29,17 @@ TEMPLATES = [
 KINDS = len(TEMPLATES)
 
 
+def _comments(text: str):
+    """A text as comment lines of code."""
+    return F.concat(F.lit("# "), F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x09\x0b-\x1f]", " "), "\n", "\n# "))
+
+
 def _code(spark, sf_dir, comments: bool = True):
     """(doc_id, source, kind, path, content) of every document as a file of code."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     kind = F.pmod("doc_id", F.lit(KINDS)).cast("int")
+    tail = _comments("text")
     body = F.replace(F.get(F.array(*map(F.lit, TEMPLATES)), kind), F.lit("{n}"), F.col("doc_id").cast("string"))
-    tail = F.concat(F.lit("# "), F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x09\x0b-\x1f]", " "), "\n", "\n# "))
     path = F.concat(F.lit("src/tool_"), F.col("doc_id").cast("string"), F.lit(".py"))
     return docs.select("doc_id", "source", kind.alias("kind"), path.alias("path"), (F.concat(body, tail) if comments else body).alias("content"))
 
@@ -94,6 +99,57 @@ def module_taint(spark, sf_dir):
     return rows.select("doc_id", "f.sink", "f.line", "f.source", "f.source_line")
 
 
+_TAUGHT = {3: ["'unpickling', 5, 'file', 5"], 5: ["'network_out', 6, 'file', 5"]}
+
+
+#: Repositories of three files, by the document's number: taint handed on twice, a constant, a number, a result, a condition.
+ACROSS = [
+    ("from lib.helpers import run\n\nrun(input())\n", "from . import shell\n\ndef run(c):\n    return shell.go(what=c)\n", "import os\n\ndef go(what):\n    os.system(what)\n"),
+    ("from lib.helpers import run\n\nrun('ls')\n", "from . import shell\n\ndef run(c):\n    return shell.go(c)\n", "import os\n\ndef go(what):\n    os.system(what)\n"),
+    ("from lib.helpers import run\n\nrun(int(input()))\n", "def run(c):\n    exec(c)\n", "x = 1\n"),
+    ("import lib.helpers as h\n\nexec(h.read())\n", "from .shell import ask\n\ndef read():\n    return ask()\n", "def ask():\n    return input()\n"),
+    ("from lib.helpers import run\n\nrun(input())\n", "def run(c):\n    d = 'a'\n    if c == 'b':\n        d = 'c'\n    eval(d)\n", "def broken(:\n"),
+]
+_ACROSS = [("0", "lib/shell.py", 4, "command_execution", 1), ("3", "main.py", 3, "eval_execution", 1), ("4", "lib/helpers.py", 5, "eval_execution", 0)]
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, '{p}' AS path, {n} AS line, '{s}' AS sink, {h} AS hops FROM documents WHERE doc_id % {len(ACROSS)} = {k}" for k, p, n, s, h in _ACROSS))
+def taint_across_files(spark, sf_dir):
+    """Sinks that taint of another file reaches, conditions included; each document is a repository and the text of one of its files."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kind = F.pmod("doc_id", F.lit(len(ACROSS))).cast("int")
+    names = ["main.py", "lib/helpers.py", "lib/shell.py"]
+    each = [F.get(F.array(*[F.lit(repo[i]) for repo in ACROSS]), kind) for i in range(3)]
+    made = F.array(*[F.struct(F.lit(n).alias("path"), (F.concat(c, _comments("text")) if n == "main.py" else c).alias("content")) for n, c in zip(names, each, strict=True)])
+    files = docs.select("doc_id", F.explode(made).alias("f")).select("doc_id", "f.*")
+    out = flows.across_files(files, "doc_id", rules=Semantics(conditions=True))
+    return out.select(F.col("scope").alias("doc_id"), "path", "line", "sink", "hops")
+
+
+_GUARDED = {0: ["'command_execution', 6, 'condition'"], 1: ["'eval_execution', 4, ''"], 2: ["'eval_execution', 6, 'condition'"]}
+
+
+@query(_rows(_GUARDED, "sink line steps").replace(f"% {KINDS}", "% 4"))
+def taint_by_condition(spark, sf_dir):
+    """Flows through conditions: values set in a branch or a loop that user input steers, or returned there; one sanitized condition."""
+    bodies = ["import os\nq = input()\nc = 'a'\nif q == 'b':\n    c = 'd'\nos.system(c)\n", "q = input()\nif True:\n    c = q\nexec(c)\n", "def f(q):\n    while q:\n        return 'a'\n    return 'b'\nq = input()\nexec(f(q))\n", "n = int(input())\nc = 'a'\nif n > 3:\n    c = 'b'\nexec(c)\n"]
+    ship(spark)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    code = F.concat(F.get(F.array(*map(F.lit, bodies)), F.pmod("doc_id", F.lit(4)).cast("int")), _comments("text"))
+    rows = docs.select("doc_id", F.explode(taint_flows(code, Semantics(conditions=True))).alias("f"))
+    return rows.select("doc_id", "f.sink", "f.line", F.array_join("f.steps", ",").alias("steps"))
+
+
+@query(_rows(_TAUGHT, "sink line source source_line"))
+def taught_taint(spark, sf_dir):
+    """Flows by rules of a table alone: sources, sinks and what is safe, added to an empty set."""
+    ship(spark)
+    rules = [("source", "file", "open"), ("source", "file", "raw|url"), ("sink", "network_out", r"requests\.post"), ("sink", "unpickling", r"pickle\.loads"), ("sink", "measured", "len"), ("safe", "measured", "helper")]
+    own = Semantics({}, {}, {}).extended(rules)
+    rows = _code(spark, sf_dir).select("doc_id", F.explode(taint_flows(F.col("content"), own)).alias("f"))
+    return rows.select("doc_id", "f.sink", "f.line", "f.source", "f.source_line")
+
+
 _TAINTED = {
     0: ["'command_injection', 'CRITICAL', 'CWE-77,CWE-78'"],
     1: ["'command_injection', 'CRITICAL', 'CWE-77,CWE-78'"],
@@ -258,3 +314,25 @@ PATH_RISKS = {"credential_files": ["app/auth", "~/.ssh/id_rsa", "secrets/.json"]
 @query(" UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, '{p}' AS pattern, '{'HIGH' if 'credential' in c else 'MEDIUM'}' AS risk FROM (SELECT doc_id, {_PATH} AS path FROM documents) WHERE contains(path, '{p}') OR ends_with(path, '{p.split('/')[-1]}')" for c, ps in PATH_RISKS.items() for p in ps))
 def path_risks(spark, sf_dir):
     return scan.risky_paths(_paths(spark, sf_dir).withColumnRenamed("doc_id", "id"), PATH_RISKS).select(F.regexp_extract("path", r"file_(\d+)", 1).cast("long").alias("doc_id"), "category", "pattern", "risk")
+
+
+#: Profiles of scans as a configuration in JSON.
+PROFILES = """{"scan_profiles": {
+"production": {"exclude_paths": ["**/tests/**", "**/node_modules/**", "**/*.log"], "severity_adjustments": {"test_code": "ignore", "example_code": "ignore"}},
+"development": {"exclude_paths": ["**/node_modules/**"], "severity_adjustments": {"test_code": "low", "example_code": "info", "generated_code": "info"}}}}"""
+_RANKS = ["CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"]
+
+
+@query("""WITH f AS (SELECT doc_id % 8 AS d, doc_id % 10 AS e, CAST(doc_id % 5 AS INT) AS s, doc_id % 8 = 1 AS test, doc_id % 8 = 2 AS example FROM documents)
+SELECT 'production' AS profile, ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO'][s + 1] AS severity, count(*) AS files FROM f WHERE d NOT IN (1, 2, 3) AND e <> 8 GROUP BY s
+UNION ALL SELECT 'development', ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO'][least(5, s + 1 + CASE WHEN test THEN 1 WHEN example THEN 2 ELSE 0 END)], count(*) FROM f WHERE d <> 3 GROUP BY 2""")
+def profile_severities(spark, sf_dir):
+    """Severities under each profile of a configuration, over paths of files whose finding has a severity by its number."""
+    path = F.concat(F.lit("repo/"), F.col("path"))
+    files = _paths(spark, sf_dir, "doc_id").withColumn("path", path).select("path", F.get(F.array(*map(F.lit, _RANKS)), F.pmod("doc_id", F.lit(5)).cast("int")).alias("severity"), context.classify(F.col("path"), F.lit(""))["purpose"].alias("purpose"))
+    out = None
+    for name, (patterns, adjust) in context.profiles(PROFILES).items():
+        left = context.apply(files.filter(~context.excluded(F.col("path"), patterns)), adjust)
+        one = left.groupBy(F.lit(name).alias("profile"), "severity").agg(F.count(F.lit(1)).alias("files"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -33,6 +33,14 @@ def run_exports(spark, sf_dir):
     return store.export(runs.drop("o_custkey"), threats, prints, "o_orderkey")
 
 
+@query("""SELECT event_id, '{"type":"tool_call","session_id":' || user_id || ',"tool":"' || event_type || '","params":{"k":' || (props::JSON ->> 'k') || '},"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '"}' AS event
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, ts ORDER BY event_id) AS rn FROM events) WHERE rn = 1""")
+def activity_export(spark, sf_dir):
+    """Tool calls as lines of JSON, repeats of a moment left out."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("session_id"), F.col("event_type").alias("tool"), F.from_json("props", "k long").alias("params"), F.col("ts").alias("timestamp"))
+    return store.activity_log(e, "session_id", "tool", "timestamp", ["event_id"])
+
+
 @query("SELECT d.doc_id, c.doc_id IS NOT NULL AS cached FROM documents d LEFT JOIN (SELECT DISTINCT sha256(text) AS h, 1 AS doc_id FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL) c ON sha256(d.text) = c.h")
 def cache_lookup(spark, sf_dir):
     """Which files have a stored result under their content's hash."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspur import sql
 from larkspur.functions import python as P
 from larkspur.functions import text as X
-from larkspur.operators import detect, flows, policy, rules, scan, store
+from larkspur.operators import context, detect, flows, policy, rules, scan, store
 from larkspur.sources import files as sources
 from larkspur.streaming import sessions
 
@@ -172,3 +172,20 @@ def test_rollups(spark):
     got = {r.scan: (r.findings, r.critical, r.high, r.by_type) for r in store.answer_rollup(found, results).collect()}
     assert got == {"s": (3, 1, 1, {"x": 2, "y": 1}), "t": (0, 0, 0, None)}
     assert len(rules.library("registry")) == 59
+
+
+def test_profiles_of_a_configuration(spark):
+    got = context.profiles('{"scan_profiles": {"p": {"exclude_paths": ["**/tests/**", "*.log"], "severity_adjustments": {"test_code": "low", "other": "info"}}, "q": {}}}')
+    assert got == {"p": (["**/tests/**", "*.log"], {"test": "low"}), "q": ([], {})} and context.profiles("{}") == {}
+    rows = spark.createDataFrame([("a/tests/b.py",), ("x.log",), ("a/x.log",), ("x.logs",), ("tests.py",)], "path string")
+    assert [r[0] for r in rows.select(context.excluded(F.col("path"), got["p"][0])).collect()] == [True, True, True, False, False]
+    assert not rows.select(context.excluded(F.col("path"), []).alias("e")).first().e
+
+
+def test_activity_log(spark):
+    rows = spark.createDataFrame([(2, "s", "t", "2024-01-01 00:00:00.5", None), (1, "s", "t", "2024-01-01 00:00:00.5", "x"), (3, None, "t", "2024-01-01 00:00:00.5", '"')], "id long, session string, tool string, at string, note string")
+    got = store.activity_log(rows.withColumn("at", F.col("at").cast("timestamp")), "session", "tool", "at", ["id"]).orderBy("id").collect()
+    assert [(r.id, json.loads(r.event)) for r in got] == [
+        (1, {"type": "tool_call", "session": "s", "tool": "t", "at": "2024-01-01T00:00:00.500000", "note": "x"}),
+        (3, {"type": "tool_call", "tool": "t", "at": "2024-01-01T00:00:00.500000", "note": '"'}),
+    ]

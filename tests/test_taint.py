@@ -1,8 +1,10 @@
-"""Taint within a module: fields, callers, containers, tools, sanitizers."""
+"""Taint: fields, callers, containers, tools, sanitizers, conditions, own rules, and between files."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from larkspur.functions.taint import flows_of, taint_flows
+from larkspur.functions.taint import Semantics, flows_of, links_of, taint_flows
+from larkspur.operators import flows
 
 FIELDS = '''
 class User:
@@ -131,3 +133,46 @@ def test_loops_until_nothing_new():
             assert [(f["sink"], f["line"], f["source_line"]) for f in got] == [("command_execution", n + 3, n + 2)]
     grown = "n = input()\nwhile go():\n    n.left = n\n    n.right = n\n    a, b = b, a\n" + "".join(f"    if c: n = f{k}(n)\n" for k in range(6)) + "os.system(n)\n"
     assert {f["sink"] for f in flows_of(grown)} == {"command_execution"}
+
+
+def test_conditions():
+    code = "q = input()\nif q == 'b':\n    c = 'd'\nelse:\n    c = 'e'\nos.system(c)\n"
+    assert flows_of(code) == []
+    (got,) = flows_of(code, Semantics(conditions=True))
+    assert (got["line"], got["source_line"], got["steps"]) == (6, 1, ["condition"])
+    safe = "n = int(input())\nif n > 1:\n    c = 'd'\nos.system(c)\n"
+    assert flows_of(safe, Semantics(conditions=True)) == []
+    after = "q = input()\nif q:\n    c = 'd'\nc = 'e'\nos.system(c)\n"
+    assert flows_of(after, Semantics(conditions=True)) == []
+    loop = "q = input()\nwhile q:\n    a = b\n    b = c\n    c = 'd'\nos.system(a)\n"
+    assert [f["line"] for f in flows_of(loop, Semantics(conditions=True))] == [6]
+
+
+def test_own_rules():
+    code = "q = my.read()\nmy.run(q)\nmy.run(clean(q))\neval(clean(q))"
+    own = Semantics().extended([("source", "mine", r"my\.read"), ("sink", "mine", r"my\.run"), ("safe", "mine", "clean")])
+    assert flows_of(code) == []
+    assert [(f["sink"], f["line"], f["source"]) for f in flows_of(code, own)] == [("mine", 2, "mine"), ("eval_execution", 4, "mine")]
+    assert "mine" not in Semantics().sinks  # the base stays as it is
+    with pytest.raises(ValueError):
+        Semantics().extended([("other", "a", "b")])
+
+
+def test_links_of_a_module():
+    assert links_of("a.py", "def (:") == [] and links_of(None, None) == [] and links_of("a.py", "x = 1") == []
+    got = links_of("pkg/b.py", "from .c import go\nfrom ..d import far\ndef f(x, *, y):\n    go(far(x), z=y)\n")
+    assert {(g["role"], g["node"], g["to"]) for g in got} == {
+        *{("edge", f"pkg.b.f#{a}", to) for a in ("0", "x") for to in ("d.far#0", "pkg.c.go#0")},
+        ("edge", "pkg.b.f#y", "pkg.c.go#z"),
+        ("edge", "d.far()", "pkg.c.go#0"),
+    }
+
+
+def test_across_files(spark):
+    """A ring of files, a file that two repositories share by name, unparsable and empty files."""
+    ring = [("r", "a.py", "import b\nb.f(input())\ndef g(x):\n    b.f(x)\n"), ("r", "b.py", "import a, sub.c as c\ndef f(x):\n    a.g(x)\n    c.h(x)\n"), ("r", "sub/c.py", "def h(y):\n    eval(y)\n"), ("r", "bad.py", "def (:"), ("r", "none.py", None)]
+    other = [("s", "a.py", "import b\nb.f('x')\n"), ("s", "b.py", "def f(x):\n    eval(x)\n")]
+    files = spark.createDataFrame(ring + other, "repository string, path string, content string")
+    got = [tuple(r) for r in flows.across_files(files).collect()]
+    assert got == [("r", "sub/c.py", 2, "eval_execution", 1, 0.9)]
+    assert flows.across_files(files.limit(0)).count() == 0
