@@ -187,7 +187,7 @@ def _has(column: str, words: list[str]) -> str:
 
 
 _PURPOSE = f"""CASE WHEN {_has("p", ["/test/", "/tests/", "_test.py", "/test_"])} OR {_has("h", context.CONTENT["test"])} THEN 'test' WHEN {_has("p", context.PATHS["example"])} OR {_has("h", context.CONTENT["example"])} THEN 'example'
-WHEN {_has("p", context.PATHS["security_tool"])} OR len(regexp_extract_all(h, 'class \w*(?:Analyzer|Scanner|Detector|Auditor)|def (?:detect|scan|analyze|audit)_')) >= 2 THEN 'security_tool' WHEN {_has("p", context.PATHS["generated"])} OR {_has("h", context.CONTENT["generated"])} THEN 'generated' ELSE 'production' END"""
+WHEN {_has("p", context.PATHS["security_tool"])} OR len(regexp_extract_all(h, 'class \\w*(?:Analyzer|Scanner|Detector|Auditor)|def (?:detect|scan|analyze|audit)_')) >= 2 THEN 'security_tool' WHEN {_has("p", context.PATHS["generated"])} OR {_has("h", context.CONTENT["generated"])} THEN 'generated' ELSE 'production' END"""
 
 
 @query(f"SELECT page_id, purpose, CAST(CASE purpose WHEN 'test' THEN 0.95 WHEN 'security_tool' THEN 0.85 WHEN 'production' THEN 0.7 ELSE 0.9 END AS DOUBLE) AS confidence FROM (SELECT page_id, {_PURPOSE} AS purpose FROM (SELECT page_id, '/' || lower(coalesce(url, '')) AS p, coalesce(html, '') AS h FROM pages))")
